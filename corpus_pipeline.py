@@ -1,4 +1,90 @@
-"""The corpus pipeline: stages over documents."""
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: documents -> language ID -> toxicity -> near duplicates -> decontamination -> mix.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs. All but the last return the columns of documents;
+the last adds size, source_size, target and taken. Rows with nulls, empty texts, repeated rows and clashing extra columns
+pass as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tabspark.llm import decontaminate, language, lm, mixing, ngram_join, toxicity
+from tabspark.llm.queries import quality
+from tabspark.llm.store import BROADCAST_KEYS, by_keys, materialize
+
+#: A language less sure than this is no language that the model knows.
+LEAST_SURE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter (or null) and those that fit none of the learned languages."""
+    labelled = docs.select("doc_id", "text", "lang").where(language.learnable(F.col("doc_id")))
+    plain = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
+    found = language.identify(plain, labelled)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).select(*plain.columns)
+
+
+def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the toxicity model takes for toxic."""
+    lessons = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~lm.held_out(F.col("doc_id"), 5))
+    plain = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    found = toxicity.score(plain, toxicity.fit(docs.select("doc_id", "text"), lessons))
+    return found.where("predicted = 0").select(*plain.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by similarity 0.8 of their five-word shingles, keeps that of the smallest doc_id.
+
+    A repeated doc_id keeps one row, its smallest by source, lang and text; rows without doc_id are in no group and all stay.
+    """
+    found = materialize(ngram_join.similar_documents(docs.select("doc_id", "text"), k=5, percent=80).select("doc_id", "component_id"), "groups")
+    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    kept = by_keys(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    few = repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    again = F.broadcast(repeated) if few else repeated
+    order = Window.partitionBy("doc_id").orderBy("source", "lang", "text")
+    one = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold at least 0.8 of a benchmark item's five-word shingles. Rows without doc_id go by their text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = materialize(decontaminate.contaminated(docs.select("doc_id", "text").where("doc_id is not null"), items).select("doc_id").distinct(), "leaks")
+    kept = by_keys(docs.where("doc_id is not null"), found, "doc_id", "left_anti").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes the sources; keeps what the mix takes, with how many words of it (repeats counted)."""
+    parts = mixing.mix(docs, quality(), (5, 2, 1), 1.5, 2.0)
+    return parts.where("taken > 0")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("toxicity", toxic_text),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+]
+
+#: The stages learn models, which SQL doesn't.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each one's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name)
+    return docs

@@ -107,12 +107,15 @@ def edits(docs: DataFrame) -> DataFrame:
     its smallest text, and for near_next its smallest signature. A row without doc_id has no next document: nothing replaces
     its last quarter, and near_next is null. No documents give no rows; extra columns are ignored.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows, no_id = every.where("doc_id is not null"), every.where("doc_id is null")
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    ids = next_ids(rows.where("doc_id is not null").select("doc_id", quarter.alias("q")).groupBy("doc_id").agg(F.max("q").alias("q")))
+    ids = next_ids(rows.select("doc_id", quarter.alias("q")).groupBy("doc_id").agg(F.max("q").alias("q")))
+    # both joins take the same exchange of the texts by doc_id, which is made once
     heads = rows.join(ids.select(F.col("doc_id").alias("before"), "q", F.col("next_id").alias("doc_id")), "doc_id")
     heads = heads.select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, q)").alias("head")).groupBy("doc_id").agg(F.min("head").alias("head"))
-    both = rows.join(heads, "doc_id", "left").select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), quarter.alias("q"), F.coalesce("head", F.lit("")).alias("head"))
+    both = rows.join(heads, "doc_id", "left").unionByName(no_id.withColumn("head", F.lit(None).cast("string")))
+    both = both.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), quarter.alias("q"), F.coalesce("head", F.lit("")).alias("head"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - q)"), F.expr("substring(head, 1, q)")))
     both = both.select("doc_id", "n_chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"))
     signed = with_signature(with_signature(both, "text", "a"), "edited", "b")
