@@ -171,6 +171,11 @@ def py_num(s: str) -> float | None:
     return None if math.isinf(value) and "inf" not in s.lower() else value
 
 
+def literal(n: float, kind: Type) -> float | int:
+    """A number as a literal of a column's own kind, so that the column needn't be cast."""
+    return int(n) if isinstance(kind, T.IntegralType) and math.isfinite(n) and n == int(n) and abs(n) < 2**53 else n
+
+
 def py_float(v: float) -> str:
     if math.isnan(v):
         return "NaN"

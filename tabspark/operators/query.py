@@ -203,7 +203,7 @@ class Query:
             return S.blank(c, kind)
         if not S.is_text(kind):
             n = value if isinstance(value, int | float) else S.py_num(str(value))
-            return c == n if S.is_number(kind) and n is not None else S.text(c, kind) == S.py_render(value)
+            return c == S.literal(n, kind) if S.is_number(kind) and n is not None else S.text(c, kind) == S.py_render(value)
         return c == S.py_render(value)
 
     def _predicate(self, p: Column | Callable[..., object]) -> Column:

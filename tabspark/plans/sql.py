@@ -253,6 +253,7 @@ def condition(q: Query, c: Condition) -> Column:
     for value, other, op in ((left, right, c.op), (right, left, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}[c.op])):
         if value.column and not other.column and S.is_number(q.cell(value.text)[1]) and (n := S.py_num(S.py_trim(other.text))) is not None:
             cell, kind = q.cell(value.text)  # reaches the scan as a filter
+            n = S.literal(n, kind)
             plain = {"<": cell < n, ">": cell > n, "<=": cell <= n, ">=": cell >= n}[op]
             return plain & ~F.isnan(cell) if isinstance(kind, T.DoubleType | T.FloatType) and op in (">", ">=") else plain
     return S.compare(_text(q, left), c.op, _text(q, right), _number(q, left), _number(q, right))

