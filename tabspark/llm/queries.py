@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.llm import chat, decontaminate, fingerprint, language, lm, mixing, ngram_join, tokens, toxicity, warc
+from tabspark.llm.oracle import ORACLE_SQL  # noqa: F401
 from tabspark.llm.store import new_path
 
 
@@ -16,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), k=3, percent=90)
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def quality():
@@ -56,13 +57,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-#: A conversation whose texts look like the template's own control strings.
-PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
-
-
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    planted = spark.createDataFrame(chat.PLANTED, "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_chat(turns.unionByName(planted)))
 
 
