@@ -6,6 +6,7 @@ family's languages, then vote on the language. Features are hashed byte pairs an
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -66,7 +67,7 @@ def train_svm(x: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds: int
     v = np.ones(xb.shape[1], np.float32)
     for _ in range(10):  # largest curvature
         v = xb.T @ (share * (xb @ v))
-        v /= (top := np.linalg.norm(v))
+        v /= (top := float(np.linalg.norm(v)))
     step = 1.0 / (1.0 / c + 2.0 * top)
     w = np.zeros(xb.shape[1], np.float32)
     z, t = w.copy(), 1.0
@@ -74,7 +75,7 @@ def train_svm(x: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds: int
         short = np.maximum(0.0, 1.0 - y * (xb @ z))
         grad = z / c - 2.0 * (xb.T @ (share * y * short))
         following = z - step * grad
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2  # Python's own floats leave the arrays in single precision
         z = following + (t - 1) / t2 * (following - w)
         w, t = following, t2
     return w[:-1], float(w[-1])
