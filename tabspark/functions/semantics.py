@@ -171,6 +171,22 @@ def py_num(s: str) -> float | None:
     return None if math.isinf(value) and "inf" not in s.lower() else value
 
 
+_PY_DATES = {RFC3339: None, "yyyy-MM-dd'T'HH:mm:ss": "%Y-%m-%dT%H:%M:%S", "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S", "yyyy-MM-dd": "%Y-%m-%d", "dd/MM/yyyy": "%d/%m/%Y", "MM/dd/yyyy": "%m/%d/%Y", "yyyy/MM/dd": "%Y/%m/%d"}
+
+
+def py_date(s: str, layouts: tuple[str, ...] = CELL_DATES) -> datetime | None:
+    """The time by the first layout that fits."""
+    for layout in layouts:
+        try:
+            form = _PY_DATES[layout]
+            if form is None and not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)", s):
+                continue
+            return datetime.fromisoformat(s) if form is None else datetime.strptime(s, form)
+        except ValueError:
+            continue
+    return None
+
+
 def literal(n: float, kind: Type) -> float | int:
     """A number as a literal of a column's own kind, so that the column needn't be cast."""
     return int(n) if isinstance(kind, T.IntegralType) and math.isfinite(n) and n == int(n) and abs(n) < 2**53 else n

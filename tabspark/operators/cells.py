@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,6 +292,20 @@ class Table:
             raise CellError(ref, v, "bool")
         return v in S.TRUE
 
+    def get_date(self, ref: str) -> datetime:
+        if (d := S.py_date(v := self.get_cell(ref))) is None:
+            raise CellError(ref, v, "date")
+        return d
+
+    def save(self, path: str = "") -> None:
+        """Writes one file of delimited text, by default where the table came from."""
+        from tabspark.sources.text import save_csv
+
+        if not (target := path or self.path):
+            raise OutOfRange("the table has no path")
+        save_csv(self.query(), target, header=self.has_header)
+        self.path = target
+
     def cell_type(self, ref: str) -> str:
         return self.spark.createDataFrame([(self.get_cell(ref),)], "v string").select(S.cell_type(F.col("v"))).first()[0]
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from datetime import datetime
 from functools import cmp_to_key
 
 import pandas as pd
@@ -81,6 +82,9 @@ class Row:
     def bool(self, name: str) -> bool:
         return self.str(name) in S.TRUE
 
+    def date(self, name: str) -> datetime | None:
+        return S.py_date(self.str(name), S.ROW_DATES)
+
 
 class Query:
     def __init__(self, df: DataFrame, headers: Sequence[str], columns: Sequence[str], err: Exception | None = None, strict: bool = False) -> None:
@@ -274,6 +278,10 @@ class Query:
         """Every header `old` becomes `new`; none is no error."""
         return self._on(lambda: self._keep_order(self.df, [new if h == old else h for h in self._headers]))
 
+    def set_headers(self, *names: str) -> Query:
+        """New headers by place; columns beyond them keep theirs."""
+        return self._on(lambda: self._keep_order(self.df, [*names[: len(self._headers)], *self._headers[len(names) :]]))
+
     def clone(self) -> Query:
         return self._keep_order(self.df)
 

@@ -1,6 +1,7 @@
 """The fluent API, SQL, merge and validation on small literal tables, with whole results."""
 
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,14 @@ def test_projection(people):
     assert people.map(lambda r: [r["id"], r["name"][::-1]]).first()[0].values() == ["1", "ecilA", "", ""]
 
 
+def test_rows_on_the_driver(spark):
+    q = Query.from_rows(spark, [[" 7 ", "1.5x", "T", "2024-02-03 04:05:06"], ["3.9", "2", "no", "30/02/2024"]], ["i", "f", "b", "d"]).set_headers("n")
+    a, b = q.iterate()
+    assert (a.int("n"), a.float("f"), a.bool("b"), a.date("d")) == (7, 0.0, True, datetime(2024, 2, 3, 4, 5, 6))
+    assert (b.int("n"), b.float("f"), b.bool("b"), b.date("d"), b.get("none"), b.at(9)) == (0, 2.0, False, None, "", "")
+    assert S.py_date("2024-02-03T04:05:06Z").tzinfo is not None
+
+
 def test_errors_stick(people):
     q = people.select("nope").limit(3)
     assert isinstance(q.err, MissingColumn) and q.count() == 0 and q.to_rows() == []

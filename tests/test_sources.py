@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tabspark import streaming
 from tabspark.cli import main
-from tabspark.errors import FileClosed, InvalidReference, MissingColumn, NoHeader, OutOfRange, ParseError, TabError
+from tabspark.errors import CellError, FileClosed, InvalidReference, MissingColumn, NoHeader, OutOfRange, ParseError, TabError
 from tabspark.operators import cells, records
 from tabspark.operators import validate as V
 from tabspark.operators.query import Query
@@ -188,7 +188,7 @@ def test_references():
             cells.parse_ref(bad)
 
 
-def test_table_edits(spark):
+def test_table_edits(spark, tmp_path):
     t = cells.Table.from_rows(spark, [["1", "a"], ["2", "b"]], ["id", "name"])
     t.set_cell("B2", True)
     assert t.get_cell("B2") == "true" and t.get_cell("A1") == "" and t.dimension() == "A1:B3"
@@ -204,6 +204,12 @@ def test_table_edits(spark):
     assert t.range("B3:A2").values() == [["p", "1.5"], ["q", ""]] and t.range("A1:C5").dimensions() == (5, 3)
     assert t.get_int("B2") == 1 and t.get_float("B2") == 1.5 and t.cell_type("B2") == "float"
     assert isinstance(t.range("nope").err, InvalidReference)
+    t.set_cell("B3", "05/04/2024")
+    assert t.get_date("B3") == datetime(2024, 4, 5)
+    with pytest.raises(CellError):
+        t.get_bool("B3")
+    t.save(str(tmp_path / "t.csv"))
+    assert (tmp_path / "t.csv").read_text() == "name,n\np,1.5\nq,05/04/2024\nc,\n"
     with pytest.raises(OutOfRange):
         t.remove_row(9)
     with pytest.raises(MissingColumn):
