@@ -8,6 +8,7 @@ as its most toxic window, wherever in the text that is. (One average over a long
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -73,15 +74,18 @@ class Model:
         """
         number: dict[bytes, int] = {}
         docs = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in texts]
-        flat = [np.array(grams(w)) for w in number]
-        size = np.array([len(g) for g in flat])
-        cells = np.concatenate(flat)
+        held_by, size = array("H"), np.empty(len(number), np.int64)
+        for i, w in enumerate(number):
+            held_by.extend(g := grams(w))
+            size[i] = len(g)
+        cells = np.frombuffer(held_by, np.uint16)
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        flat = lambda ws: np.concatenate([cells[first[w] : first[w] + size[w]] for w in ws])
         y = toxic.astype(float)
         weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
         up, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-12)
         for d, error in zip(docs, (y - 0.5) * weight, strict=True):
-            held = np.unique(np.concatenate([flat[w] for w in np.unique(d)]))
+            held = np.unique(flat(np.unique(d)))
             up[held] += error
             squares[held] += error * error
         up /= np.sqrt(squares)
@@ -91,7 +95,7 @@ class Model:
         bounds, in_order = np.cumsum([0, *map(len, docs)]), np.concatenate(docs)
         speed = np.zeros_like(self.embedding)
         for round_ in range(ROUNDS):
-            vectors = np.add.reduceat((self.embedding @ self.out)[cells], first) / size
+            vectors = np.add.reduceat((self.embedding @ self.out).astype(np.float32)[cells], first) / size
             by_doc = [windows(vectors[in_order[a:b]]) for a, b in pairwise(bounds)]
             at = [z.argmax() for z in by_doc]
             z = np.array([z[i] for z, i in zip(by_doc, at, strict=True)])
@@ -100,8 +104,9 @@ class Model:
             error = (y - sigmoid(z + self.bias)) * weight
             chosen = [d[i : i + WINDOW] for d, i in zip(docs, at, strict=True)]
             share = [np.full(len(x), e / len(x)) for x, e in zip(chosen, error, strict=True)]
-            up = np.bincount(np.concatenate(chosen), weights=np.concatenate(share), minlength=len(number))
-            up = np.bincount(cells, weights=np.repeat(up / size, size), minlength=BUCKETS)
+            used, back = np.unique(np.concatenate(chosen), return_inverse=True)
+            up = np.bincount(back, weights=np.concatenate(share)) / size[used]
+            up = np.bincount(flat(used), weights=np.repeat(up, size[used]), minlength=BUCKETS)
             rate = 1.0 - round_ / ROUNDS
             turn = up @ self.embedding
             speed = 0.8 * speed + up[:, None] * self.out
