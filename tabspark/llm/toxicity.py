@@ -31,8 +31,8 @@ WINDOW = 1
 PER_CLASS = 1000
 LONGEST_LESSON = 200_000
 ROUNDS = 60
-#: Standard deviations within which a difference between the classes may be chance.
-SURE = 3.0
+#: Standard deviations beyond which a bucket tells the classes apart from the start, and beyond which it may come to.
+SURE, LIKELY = 3.0, 2.0
 DECAY = 1e-3
 KEEP_WORDS = 300_000
 _EDGE = b".,;:!?\"'()[]{}<>*$%&#|`~-_/\\"
@@ -89,6 +89,7 @@ class Model:
             up[held] += error
             squares[held] += error * error
         up /= np.sqrt(squares)
+        chance = up < LIKELY  # buckets that may only rise by chance: a label without cause teaches nothing
         up = np.sign(up) * np.maximum(0.0, np.abs(up) - SURE)
         self.embedding = 6.0 * (up / max(1e-12, np.abs(up).max()))[:, None] * self.out
 
@@ -107,6 +108,7 @@ class Model:
             used, back = np.unique(np.concatenate(chosen), return_inverse=True)
             up = np.bincount(back, weights=np.concatenate(share)) / size[used]
             up = np.bincount(flat(used), weights=np.repeat(up, size[used]), minlength=BUCKETS)
+            up[chance & (up > 0)] = 0.0
             rate = 1.0 - round_ / ROUNDS
             turn = up @ self.embedding
             speed = 0.8 * speed + up[:, None] * self.out
