@@ -145,7 +145,8 @@ def concat(*tables: Query) -> Query:
     first = tables[0]
     if err := next((t.err for t in tables if t.err), None):
         return first._fail(err)
-    same_order = len({t.df.schema[ORDER].dataType.simpleString() for t in tables}) == 1
+    if len({t.df.schema[ORDER].dataType.simpleString() for t in tables}) > 1:
+        tables = tuple(t._with(t.ordered().withColumn(ORDER, F.monotonically_increasing_id())) for t in tables)
     parts = []
     for n, t in enumerate(tables):
         cells = []
@@ -157,8 +158,7 @@ def concat(*tables: Query) -> Query:
                 cells.append(F.col(f"`{own}`").alias(c))
             else:
                 cells.append((S.text(F.col(f"`{own}`"), t.kind(own)) if S.is_text(kind) else F.col(f"`{own}`").cast(kind)).alias(c))
-        place = F.col(ORDER) if same_order else F.col(ORDER).cast("string")
-        parts.append(t.df.select(*cells, F.struct(F.lit(n).alias("table"), place.alias("row")).alias(ORDER)))
+        parts.append(t.df.select(*cells, F.struct(F.lit(n).alias("table"), F.col(ORDER).alias("row")).alias(ORDER)))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)

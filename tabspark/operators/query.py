@@ -3,8 +3,8 @@
 A Query is a DataFrame plus its headers. Steps only build the plan; names are checked at once, as the schema is known. An
 error sticks: later steps do nothing, terminals return empty values, and `err` tells (or `strict=True` raises at once).
 
-Rows have an order. A hidden column holds it, taken from the file's own row numbers where the source has such, else assigned
-when scanned; operations that don't ask for the order never touch it, so Catalyst prunes it away.
+Rows have an order. A hidden column holds it, taken from the file's own row numbers where the source has such, else numbered
+as they come. It is added by the first operation that asks for the order; others leave it out of the plan, and so of the scan.
 """
 
 from __future__ import annotations
@@ -100,10 +100,8 @@ class Query:
         if order:
             keys = [F.col(o) if isinstance(o, str) else o for o in order]
             df = df.withColumn(ORDER, keys[0] if len(keys) == 1 else F.struct(*keys))
-        else:
-            df = scan_order(df)
         if columns != headers:
-            df = df.toDF(*columns, ORDER)
+            df = df.toDF(*columns, *([ORDER] if order else []))
         return cls(df, headers, columns, strict=strict)
 
     @classmethod
@@ -133,9 +131,21 @@ class Query:
     def _with(self, df: DataFrame | None = None, headers: Sequence[str] | None = None, columns: Sequence[str] | None = None) -> Query:
         return Query(self.df if df is None else df, self._headers if headers is None else headers, self._columns if columns is None else columns, self.err, self.strict)
 
-    def settled(self) -> Query:
-        """Its order, if it is that of a sort, written into the hidden column: what follows may drop or change the keys."""
-        return self if not self._keys else self._with(self.ordered().withColumn(ORDER, F.monotonically_increasing_id()))
+    def _hidden(self) -> list[str]:
+        return [ORDER] if ORDER in self.df.columns else []
+
+    def with_order(self) -> Query:
+        """The same with the hidden order as a column."""
+        return self if self._hidden() else self._keep_order(scan_order(self.df))
+
+    def settled(self, order: bool = True) -> Query:
+        """Its order, if it is that of a sort, written into the hidden column: what follows may drop or change the keys.
+
+        order=False: without adding the hidden column if nothing was sorted.
+        """
+        if self._keys:
+            return self._with(self.ordered().withColumn(ORDER, F.monotonically_increasing_id()))
+        return self.with_order() if order else self
 
     def _fail(self, err: Exception) -> Query:
         if self.strict:
@@ -240,7 +250,8 @@ class Query:
                 raise MissingColumn(names[picked.index(None)])
             columns = physical_names(names)
             cols = [F.col(f"`{p}`").alias(c) for p, c in zip(picked, columns, strict=True)]
-            return self._with(self.settled().df.select(*cols, ORDER), names, columns)
+            q = self.settled(order=False)
+            return self._with(q.df.select(*cols, *q._hidden()), names, columns)
 
         return self._on(change)
 
@@ -256,8 +267,9 @@ class Query:
                 return pd.Series([[S.py_render(x) for x in fn(Row(headers, v))] for v in zip(*cells, strict=True)])
 
             cells = [S.text(F.col(f"`{c}`"), self.kind(c)) for c in self._columns]
-            made = self.settled().df.select(each(*cells).alias("_made"), ORDER)
-            return self._with(made.select(*[F.coalesce(F.get("_made", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(self._columns[:width])], ORDER))
+            q = self.settled(order=False)
+            made = q.df.select(each(*cells).alias("_made"), *q._hidden())
+            return self._with(made.select(*[F.coalesce(F.get("_made", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(self._columns[:width])], *q._hidden()))
 
         return self._on(change)
 
@@ -267,7 +279,7 @@ class Query:
         def change() -> Query:
             col = value if isinstance(value, Column) else self._call(value, T.StringType())
             if (c := self.column(name)) is not None:
-                return self._with(self.settled().df.withColumn(c, col))
+                return self._with(self.settled(order=False).df.withColumn(c, col))
             headers = [*self._headers, name]
             c = name if physical_names(headers)[-1] == name and name not in self._columns else f"_c{len(self._columns)}"
             return self._keep_order(self.df.withColumn(c, col), headers, [*self._columns, c])
@@ -321,7 +333,7 @@ class Query:
 
     def _sorted(self, keys: list[S.Key]) -> Query:
         """The order is a tuple of sort keys, so that what follows (limit, skip, last) sorts by them directly."""
-        q = self._with()
+        q = self.with_order()._with()
         q._keys = [*keys, *self._order()]
         return q
 
@@ -334,7 +346,7 @@ class Query:
         return [(k, not descending) for k, descending in self._order()]
 
     def ordered(self) -> DataFrame:
-        return self.df.orderBy(*S.directed(self._order()))
+        return self.with_order().df.orderBy(*S.directed(self._order()))
 
     def limit(self, n: int) -> Query:
         return self._on(lambda: self._keep_order(self.ordered().limit(max(0, n))))
@@ -343,7 +355,7 @@ class Query:
         return self._on(lambda: self._keep_order(self.ordered().offset(max(0, n))))
 
     def tail(self, n: int) -> Query:
-        return self._on(lambda: self._keep_order(self.df.orderBy(*S.directed(self._flipped())).limit(max(0, n))))
+        return self._on(lambda: self._keep_order(self.with_order().df.orderBy(*S.directed(self._flipped())).limit(max(0, n))))
 
     def _keep_order(self, df: DataFrame, headers: Sequence[str] | None = None, columns: Sequence[str] | None = None) -> Query:
         q = self._with(df, headers, columns)
@@ -352,7 +364,7 @@ class Query:
 
     def reverse(self) -> Query:
         def change() -> Query:
-            q = self._with()
+            q = self.with_order()._with()
             q._keys = self._flipped()
             return q
 
@@ -449,7 +461,11 @@ class Query:
 
     def as_text(self) -> Query:
         """Typed columns rendered as cell text, nulls as empty."""
-        return self._on(lambda: self._with(self.settled().df.select(*[S.text(F.col(f"`{c}`"), self.kind(c)).alias(c) for c in self._columns], ORDER)))
+        def change() -> Query:
+            q = self.settled(order=False)
+            return self._with(q.df.select(*[S.text(F.col(f"`{c}`"), self.kind(c)).alias(c) for c in self._columns], *q._hidden()))
+
+        return self._on(change)
 
     def iterate(self) -> Iterator[Row]:
         if self.err:

@@ -168,11 +168,13 @@ class Schema:
         """row (its order), field, value, rule, error of all violations; a column that q lacks is empty."""
         if q.err:
             raise q.err
+        q = q.settled()
         out = self.violations(q.df, q.text, [ORDER])
         return out.withColumnRenamed(ORDER, "row")
 
     def validate_list(self, q: Query) -> list[FieldError]:
         """Violations by row and rule, rows numbered from 0; for tables with few of them."""
+        q = q.settled()
         places = q.df.select(ORDER).orderBy(ORDER)
         rows = self.validate(q).orderBy("row", "n").collect()
         if not rows:

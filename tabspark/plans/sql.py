@@ -294,7 +294,7 @@ def _project(q: Query, s: Statement) -> Query:
     headers = [i.header for i in s.items]
     columns = physical_names(headers)
     sorted_by = q._keys or []
-    df = q.df.select(*[F.col(f"`{p}`").alias(c) for p, c in zip(picked, columns, strict=True)], ORDER, *[k.alias(f"_k{n}") for n, (k, _) in enumerate(sorted_by)])
+    df = q.df.select(*[F.col(f"`{p}`").alias(c) for p, c in zip(picked, columns, strict=True)], *q._hidden(), *[k.alias(f"_k{n}") for n, (k, _) in enumerate(sorted_by)])
     out = Query(df, headers, columns, strict=q.strict)
     out._keys = [(F.col(f"_k{n}"), d) for n, (_, d) in enumerate(sorted_by)] or None
     return out
@@ -310,14 +310,14 @@ def _aggregate(q: Query, s: Statement) -> Query:
     """Groups by the first columns of these names; a column outside any function has its group's first value."""
     if q.err:
         return q
-    q = q.settled()
+    q = q.settled(order=any(not i.function and i.name not in s.group for i in s.items))
     keys = []
     for i, name in enumerate(s.group):
         c = q.first_column(name)
         keys.append((F.lit("") if c is None else F.col(f"`{c}`") if not S.is_text(q.kind(c)) else S.text(F.col(f"`{c}`"))).alias(f"_g{i}"))
     if len(s.group) == 1 and q.first_column(s.group[0]) is None:
         q = q.where(F.lit(False))
-    aggs, headers = [], []
+    aggs, headers, keyed = [], [], {}
     for i in s.items:
         if i.function:
             aggs.append(q.agg_column(i.function.lower(), i.name))
@@ -328,14 +328,19 @@ def _aggregate(q: Query, s: Statement) -> Query:
             c = q.column(i.name)
             if c is None:
                 return q._fail(MissingColumn(i.name))
+            if i.name in s.group and q.first_column(i.name) == c:
+                keyed[len(headers)] = f"_g{s.group.index(i.name)}"  # the key itself: an aggregate of text would need a sort
+                headers.append(i.header)
+                continue
             first = F.min_by(F.col(f"`{c}`"), F.col(ORDER))
             aggs.append(F.coalesce(first, F.lit("")) if S.is_text(q.kind(c)) else first)
         headers.append(i.header)
     columns = physical_names(headers)
-    named = [a.alias(c) for a, c in zip(aggs, columns, strict=True)]
+    named = [a.alias(c) for a, c in zip(aggs, (c for n, c in enumerate(columns) if n not in keyed), strict=True)]
     if keys:
-        df = q.df.groupBy(*keys).agg(*named)
+        df = q.df.groupBy(*keys).agg(*named) if named else q.df.select(*keys).distinct()
         order = F.struct(*[F.col(f"_g{i}") for i in range(len(keys))])
     else:
         df, order = q.df.agg(*named), F.lit(0)
-    return Query(df.select(*columns, order.alias(ORDER)), headers, columns, strict=q.strict)
+    out = [F.col(keyed[n]).alias(c) if n in keyed else F.col(f"`{c}`") for n, c in enumerate(columns)]
+    return Query(df.select(*out, order.alias(ORDER)), headers, columns, strict=q.strict)
