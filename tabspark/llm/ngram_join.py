@@ -27,6 +27,14 @@ from tabspark.llm.text import WordHashes, as_bytes, mix, set_hash, shingle_set,
 LARGEST = 1 << 40
 #: Up to this size two thirds of a first-level partition make a signature, above it a half: small sets share parts by chance.
 SMALL = 256
+#: From this size on bands are a fifth wider.
+WIDE = 40
+#: Below this threshold the first level alone has so many partitions that a second one would leave its parts empty.
+DENSE = 85
+#: Bits of the bitmap that tells which signatures are shared (16 MB).
+FILTER_BITS = 27
+#: In a bucket of more sets, those not yet connected are joined by what sets them apart from its center.
+CROWD = 32
 
 
 @dataclass(frozen=True)
@@ -42,24 +50,28 @@ class Band:
 
 @cache
 def bands(percent: int) -> tuple[Band, ...]:
-    """All bands for |A & B| * 100 >= percent * |A | B|; the smallest and the largest set of a band can just be similar."""
+    """All bands for |A & B| * 100 >= percent * |A | B|. A set's similar ones are in its own band or one beside it.
+
+    Bands of large sets are wider than that needs: fewer sets then lie where two bands' signatures are due.
+    """
     out, low = [], 1
     while low < LARGEST:
         high = low * 100 // percent
+        if high >= WIDE and percent >= DENSE:
+            high = high * 6 // 5
         differ = 2 * high * (100 - percent) // (100 + percent)
         if differ == 0:
             out.append(Band(low, high, 0))
         elif differ <= 2:
             out.append(Band(low, high, differ, 1, differ + 2, 2, 0))
         else:
-            n2 = 3 if high <= SMALL else 2
-            base = (differ + 2) // 2  # (base - 1) * 2 > differ - 1: at least one partition has a difference or none
-            smallest = max(1, low * percent // 100)
-            spare = 0
-            for _ in range(4):  # subsets that a set leaves empty by chance: mean and four deviations
-                empty = (base + spare) * n2 * math.exp(-smallest * (n2 - 1) / ((base + spare) * n2))
-                spare = math.ceil(empty + 4 * math.sqrt(empty))
-            out.append(Band(low, high, differ, base + spare, n2, n2 - 1, spare))
+            n2 = (3 if high <= SMALL else 2) if percent >= DENSE else 1
+            base = differ // 2 + 1 if n2 > 1 else differ + 1  # so many have one with at most k2 differences
+            keep, smallest, spare = max(1, n2 - 1), max(1, low * percent // 100), 0
+            for _ in range(8):  # partitions with a subset that a set leaves empty by chance: mean and four deviations
+                empty = (base + spare) * n2 * math.exp(-smallest * keep / ((base + spare) * n2))
+                spare = min(base, math.ceil(empty + 4 * math.sqrt(empty)))
+            out.append(Band(low, high, differ, base + spare, n2, keep, spare))
         low = high + 1
     return tuple(out)
 
@@ -69,6 +81,16 @@ def _lows(percent: int) -> list[int]:
     return [b.low for b in bands(percent)]
 
 
+def _sums(part: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """64-bit sums of values by part; the halves are summed as doubles, exact for up to 2**21 values."""
+    if len(part) >= 1 << 21:
+        out = np.zeros(n, np.uint64)
+        np.add.at(out, part, value)
+        return out
+    low = np.bincount(part, weights=value & np.uint64(0xFFFFFFFF), minlength=n).astype(np.uint64)
+    return low + (np.bincount(part, weights=value >> np.uint64(32), minlength=n).astype(np.uint64) << np.uint64(32))
+
+
 def signatures(f: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a sorted set of 64-bit shingles, for its own band and the next one that a similar set may be in.
 
@@ -87,10 +109,8 @@ def signatures(f: np.ndarray, percent: int) -> np.ndarray:
             seed = mix(np.array([0x9E3779B97F4A7C15 + i], np.uint64))[0]
             g = mix(f ^ seed)
             part = (g % np.uint64(band.n1 * band.n2)).astype(np.int64)
-            held = np.zeros(band.n1 * band.n2, np.uint64)
-            np.add.at(held, part, mix(g + seed))
-            count = np.bincount(part, minlength=len(held)).reshape(band.n1, band.n2)
-            held = held.reshape(band.n1, band.n2)
+            count = np.bincount(part, minlength=band.n1 * band.n2).reshape(band.n1, band.n2)
+            held = _sums(part, mix(g + seed), band.n1 * band.n2).reshape(band.n1, band.n2)
             place = mix(np.arange(1, band.n1 + 1, dtype=np.uint64) + seed)
             sig, none = [], []
             for j, chosen in enumerate(combinations(range(band.n2), band.keep)):
@@ -125,8 +145,33 @@ def shingle_sizes(docs: DataFrame, k: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long")
 
 
-def class_signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """class_id, n_shingles, sig: a row for each signature; equal sets of one task give theirs once."""
+def sketch(sigs: DataFrame) -> np.ndarray | None:
+    """A bitmap that has the bit of each of these signatures, and of few others; None if there are too many of them.
+
+    Its size is bounded by FILTER_BITS. Executors put it together word by word; the driver gets the words.
+    """
+    n = sigs.count()
+    if n > 1 << (FILTER_BITS - 3):
+        return None
+    bits = min(FILTER_BITS, max(16, (n * 32).bit_length()))
+    place = F.shiftrightunsigned("sig", 64 - bits)
+    words_ = sigs.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sig, {64 - bits}) & 63 as int))")).alias("word")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[words_["at"].to_numpy(np.int64)] = words_["word"].to_numpy(np.int64).view(np.uint64)
+    return bitmap
+
+
+def _in(bitmap: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    at = sig >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def class_signatures(docs: DataFrame, k: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
+    """class_id, n_shingles, sig: a row for each signature; equal sets of one task give theirs once.
+
+    only: a sketch of the signatures that count; nearly all others are left out.
+    """
+    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
     schema = pa.schema([("class_id", pa.int64()), ("n_shingles", pa.int32()), ("sig", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +184,8 @@ def class_signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     continue
                 seen.add(c)
                 sig = signatures(f, percent)
+                if shared is not None:
+                    sig = sig[_in(shared.value, sig)]
                 ids.append(np.full(len(sig), c))
                 sizes.append(np.full(len(sig), len(f), np.int32))
                 found.append(_signed(sig))
@@ -200,6 +247,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(inter * 100 >= (F.size("f") + F.size("g") - inter) * percent).select("a", "b")
 
 
+def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different labels that may be similar, among those of one center, without comparing all pairs.
+
+    many: center, class_id, n_shingles, label. With D the shingles in which a set and its center differ, two sets differ in
+    what their D don't share, so similar ones share at least t = (|D| + |D'| - k) / 2 of it, where k is how much similar sets
+    of such sizes may differ. Then the first |D| - t + 1 shingles of each D, in one order, have one in common. What the center
+    lacks comes first in that order: it is rare, so unlike sets seldom meet. A set is far if its D alone exceeds every k that
+    it can have; that bounds t from below for it (|D| - k) and for any set that meets it ((|D| + 1) / 2). Pairs of which
+    neither is far are few, as nearly all such sets are linked with the center; these are taken as they are.
+    """
+    most = lambda n: F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
+    d = many.join(sets, "class_id").join(sets.select(F.col("class_id").alias("center"), F.col("f").alias("g")), "center")
+    d = d.select("center", "class_id", "n_shingles", "label", F.concat(F.array_except("f", "g"), F.array_except("g", "f")).alias("d"))
+    far = F.size("d") > most(F.col("n_shingles"))
+    length = F.when(far, most(F.col("n_shingles")) + 1).otherwise(F.size("d") - F.floor((F.size("d") + 2) / 2) + 1).cast("int")
+    d = materialize(d.select("center", "class_id", "n_shingles", "label", far.alias("far"), F.slice("d", F.lit(1), length).alias("d")), "apart")
+    x = d.select("center", "class_id", "n_shingles", "label", "far", F.explode("d").alias("e"))
+    met = x.groupBy("center", "e").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u < v").select("center", "e")
+    x = materialize(x.join(met, ["center", "e"]), "met")
+    p, q = x.alias("p"), x.alias("q")
+    unlike = (F.col("p.center") == F.col("q.center")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent)
+    pair = [F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b")]
+    found = p.join(q, unlike & (F.col("p.e") == F.col("q.e")) & (F.col("p.far") | F.col("q.far"))).select(*pair)
+    near = d.where("not far").drop("d")
+    p, q = near.alias("p"), near.alias("q")
+    return found.union(p.join(q, unlike).select(*pair))
+
+
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row of docs (doc_id, text); k words a shingle.
 
@@ -214,19 +289,21 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
     Equal sets are one class from the first step on, so copies cost nothing more. In a bucket of sets that share a signature
     all are verified against the one that shares most with the rest of them (a star, not all pairs). Only where a bucket still
-    has sets of several components, sets of different ones are verified in pairs: no link can be missed.
+    has sets of several components, pairs of different ones are verified: in a small bucket each such pair, in a crowd those
+    that share enough of what sets them apart from its center (see _crowd_pairs). So no link can be missed.
     """
     base = materialize(shingle_sizes(docs, k), "sizes")
-    signed = class_signatures(docs, k, percent)
-    shared = signed.groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("sig")
-    buckets = materialize(signed.join(shared, "sig").distinct(), "buckets")
+    every = class_signatures(docs, k, percent).groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"))
+    shared = materialize(every.where("x < y").select("sig"), "shared")
+    # what nothing shares is left out before the second shuffle, if a bitmap of bounded size can tell
+    buckets = materialize(class_signatures(docs, k, percent, sketch(shared)).join(shared, "sig").distinct(), "buckets")
 
     # the center of a bucket: the set that has the largest buckets on the whole
     width = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("width"))
     fame = buckets.join(width, "sig").groupBy("class_id").agg(F.sum("width").alias("fame"))
     ranked = materialize(buckets.join(fame, "class_id"), "ranked")
     center = ranked.groupBy("sig").agg(F.max(F.struct("fame", "class_id", "n_shingles")).alias("c"))
-    center = center.select("sig", F.col("c.class_id").alias("a"), F.col("c.n_shingles").alias("n_a"))
+    center = materialize(center.select("sig", F.col("c.class_id").alias("a"), F.col("c.n_shingles").alias("n_a")), "centers")
     stars = ranked.join(center, "sig").where((F.col("class_id") != F.col("a")) & _close(F.col("n_shingles"), F.col("n_a"), percent))
     stars = materialize(stars.select("a", F.col("class_id").alias("b")).distinct(), "stars")
 
@@ -241,11 +318,16 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
     labelled = buckets.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     labelled = materialize(labelled.select("sig", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label")), "labelled")
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("sets")).where("x < y").select("sig", "sets")
     open_ = materialize(labelled.join(mixed, "sig"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
+    few = open_.where(F.col("sets") <= CROWD)
+    p, q = few.alias("p"), few.alias("q")
     apart = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent)
     rest = p.join(q, apart).select(F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b"))
+    many = open_.where(F.col("sets") > CROWD).join(center.select("sig", F.col("a").alias("center")), "sig").where("class_id <> center")
+    many = materialize(many.select("center", "class_id", "n_shingles", "label").distinct(), "crowds")
+    if not many.isEmpty():
+        rest = rest.union(_crowd_pairs(many, sets, percent))
     done = stars.union(stars.select("b", "a"))
     rest = materialize(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():

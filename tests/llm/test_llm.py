@@ -67,8 +67,11 @@ def test_partenum_loses_no_similar_pair(percent):
                 assert np.intersect1d(ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)).size, (size, len(b))
 
 
-@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
-def test_join_agrees_with_all_pairs(spark, k, percent):
+@pytest.mark.parametrize("k, percent, crowd", [(3, 90, 32), (3, 90, 2), (5, 80, 3)])
+def test_join_agrees_with_all_pairs(spark, monkeypatch, k, percent, crowd):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    if crowd == 2:
+        monkeypatch.setattr(ngram_join, "FILTER_BITS", 3)  # too small for any bitmap
     rng = random.Random(percent)
     texts = [prose(rng, rng.choice([1, 2, 3, 6, 12, 40, 150])) for _ in range(40)]
     for _ in range(120):
