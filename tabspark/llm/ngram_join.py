@@ -250,12 +250,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different labels that may be similar, among those of one center, without comparing all pairs.
 
-    many: center, class_id, n_shingles, label. With D the shingles in which a set and its center differ, two sets differ in
+    many: center, center_label, class_id, n_shingles, label. With D the shingles in which a set and its center differ, two sets differ in
     what their D don't share, so similar ones share at least t = (|D| + |D'| - k) / 2 of it, where k is how much similar sets
     of such sizes may differ. Then the first |D| - t + 1 shingles of each D, in one order, have one in common. What the center
     lacks comes first in that order: it is rare, so unlike sets seldom meet. A set is far if its D alone exceeds every k that
     it can have; that bounds t from below for it (|D| - k) and for any set that meets it ((|D| + 1) / 2). Pairs of which
-    neither is far are few, as nearly all such sets are linked with the center; these are taken as they are.
+    neither is far are few, as nearly all such sets are linked with the center; these are taken as they are, and so are those
+    of a set and the center.
     """
     most = lambda n: F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
     d = many.join(sets, "class_id").join(sets.select(F.col("class_id").alias("center"), F.col("f").alias("g")), "center")
@@ -270,6 +271,7 @@ def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     unlike = (F.col("p.center") == F.col("q.center")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent)
     pair = [F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b")]
     found = p.join(q, unlike & (F.col("p.e") == F.col("q.e")) & (F.col("p.far") | F.col("q.far"))).select(*pair)
+    found = found.union(many.where("label <> center_label").select(F.col("center").alias("a"), F.col("class_id").alias("b")))
     near = d.where("not far").drop("d")
     p, q = near.alias("p"), near.alias("q")
     return found.union(p.join(q, unlike).select(*pair))
@@ -300,7 +302,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
     # the center of a bucket: the set that has the largest buckets on the whole
     width = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("width"))
-    fame = buckets.join(width, "sig").groupBy("class_id").agg(F.sum("width").alias("fame"))
+    fame = materialize(buckets.join(width, "sig").groupBy("class_id").agg(F.sum("width").alias("fame")), "fame")
     ranked = materialize(buckets.join(fame, "class_id"), "ranked")
     center = ranked.groupBy("sig").agg(F.max(F.struct("fame", "class_id", "n_shingles")).alias("c"))
     center = materialize(center.select("sig", F.col("c.class_id").alias("a"), F.col("c.n_shingles").alias("n_a")), "centers")
@@ -324,8 +326,13 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     p, q = few.alias("p"), few.alias("q")
     apart = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent)
     rest = p.join(q, apart).select(F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b"))
-    many = open_.where(F.col("sets") > CROWD).join(center.select("sig", F.col("a").alias("center")), "sig").where("class_id <> center")
-    many = materialize(many.select("center", "class_id", "n_shingles", "label").distinct(), "crowds")
+    # crowds whose centers are connected are one: its center is the one of most fame among all that these are connected with
+    of = labelled.select("class_id", "label").distinct().join(fame, "class_id").groupBy("label").agg(F.max(F.struct("fame", "class_id")).alias("top"))
+    of = of.select(F.col("label").alias("center_label"), F.col("top.class_id").alias("center"))
+    own = labelled.select(F.col("class_id").alias("a"), F.col("label").alias("center_label")).distinct()
+    many = open_.where(F.col("sets") > CROWD).join(center.select("sig", "a"), "sig").join(own, "a").join(of, "center_label")
+    many = many.where("class_id <> center").select("center", "center_label", "class_id", "n_shingles", "label").distinct()
+    many = materialize(many, "crowds")
     if not many.isEmpty():
         rest = rest.union(_crowd_pairs(many, sets, percent))
     done = stars.union(stars.select("b", "a"))
