@@ -5,9 +5,10 @@ absolutely discounted and interpolated probability, and a failure arc, weighted
 arcs are the additively smoothed word probabilities. A text is scored in one pass from left to right: each token is read on
 an arc of the state at hand, or else on the root's after its failure arc, and leads to its own state.
 
-A word or pair belongs to the automaton if at least FREQUENT of all training tokens are such. That rule is the same for
-every size, and since shares add up to 1, no corpus has more than 1 / FREQUENT of either: the automaton's size is bounded.
-All rarer words keep their exact counts, which a join brings to the documents that hold them; no key of that join is hot.
+Every word is a state, and every pair that occurs LEAST_PAIR times in training has its arc, at every size. Those of at least
+FREQUENT of all training tokens are broadcast; since shares add up to 1, no corpus has more than 1 / FREQUENT of either. The
+weights of all rarer words and pairs lie in a partitioned table, and a join brings them to the documents that hold them; no
+key of that join is hot.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tabspark.llm.store import materialize
 from tabspark.llm.text import WordHashes, as_bytes, words
 
-#: Least share of the training tokens of a word or pair in the automaton; it has at most 1 / FREQUENT of either.
+#: Least share of the training tokens of a word or pair that is broadcast; there are at most 1 / FREQUENT of either.
 FREQUENT = 1e-6
 DISCOUNT = 0.75
 #: A pair that occurs once isn't evidence.
@@ -35,12 +36,22 @@ ADD = 0.1
 BEGIN, END = b" begin", b" end"
 #: A task gives its counts on when it has so many.
 FLUSH = 1_000_000
+#: Bits of the bitmap of rare keys (16 MB).
+FILTER_BITS = 27
 
 
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+_BEGIN, _END = _hash(BEGIN), _hash(END)
+
+
+def _signed(h: np.ndarray) -> np.ndarray:
+    """WordHashes' hashes as _hash has them."""
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def held_out(doc_id: Column, of: int, remainder: int = 0) -> Column:
     """crc32(doc_id as text) mod `of` is `remainder`; a null id counts as the empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == remainder
@@ -69,155 +80,214 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Reader:
-    """Texts as numbers of frequent words (their places in the sorted hashes), -1 for others."""
-
-    def __init__(self, frequent: np.ndarray) -> None:
-        self.frequent, self.hashes = frequent, WordHashes()
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.frequent, h)
-        at[at == len(self.frequent)] = 0
-        return np.where(self.frequent[at] == h, at, -1)
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One 64-bit key a pair of word hashes; two of n pairs share one with probability n*n/2**65."""
+    x = second.view(np.uint64)
+    return first.view(np.uint64) ^ ((x << np.uint64(23)) | (x >> np.uint64(41)))
 
-    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and numbers of a text's words."""
-        h = (self.hashes.of(words(text)) ^ np.uint64(1 << 63)).view(np.int64)
-        return h, self.ids(h)
 
-
-def pair_counts(texts: DataFrame, frequent: np.ndarray, end: int) -> DataFrame:
-    """pair, c over all texts, of pairs of frequent words: a frequent pair has no other words.
-
-    pair is first * (n + 1) + second with the words' numbers; number n as first is the beginning of a text.
-    """
-    n = len(frequent)
-    schema = pa.schema([("pair", pa.int64()), ("c", pa.int64())])
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """first, second (word hashes), c: counts of all neighbours over all texts, the beginning and end of each among them."""
+    schema = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, kept, size = _Reader(shared.value), [], 0
+        hashes, kept, size = WordHashes(), [], 0
 
         def flush() -> pa.RecordBatch:
-            pair, c = np.unique(np.concatenate([*kept, np.zeros(0, np.int64)]), return_counts=True)
+            h, at = np.unique(np.concatenate([*kept, np.zeros(0, np.int64)]), return_inverse=True)
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(c, pa.int64())], schema=schema)
+            # a text begins with BEGIN and ends with END: no pair reaches over from one text to the next
+            pair = (at[:-1] << 32) | at[1:]
+            pair, c = np.unique(pair[h[at[:-1]] != _END] if len(h) else pair, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[pair >> 32]), pa.array(h[pair & 0xFFFFFFFF]), pa.array(c, pa.int64())], schema=schema)
 
         for batch in batches:
             for text in as_bytes(batch.column(0)):
-                _, ids = reader.read(text)
-                seq = np.concatenate([[n], ids, [end]])
-                both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-                kept.append((seq[:-1] * (n + 1) + seq[1:])[both])
+                kept.append(np.concatenate([[_BEGIN], _signed(hashes.of(words(text))), [_END]]))
                 size += len(kept[-1])
                 if size >= 4 * FLUSH:
                     yield flush()
                     size = 0
-        yield flush()
+        if kept:
+            yield flush()
 
-    return texts.select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "first long, second long, c long").groupBy("first", "second").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Automaton:
-    """frequent: sorted word hashes; root: their log10 probabilities; arcs: sorted state * (n + 1) + word, with weights;
-    fail: weight of each state's failure arc (0 where a state has no arcs). State n is the beginning, `end` the end's word."""
+    """What is broadcast. frequent: sorted hashes of words, BEGIN among them; root: log10 of their probabilities; fail: of
+    their failure arcs' weights; count: how often each is left. arcs: sorted keys of pairs, with what each adds to its failure
+    arc and root; none: the root's weight of a word that training lacks; sketch: of the keys that the table of others has."""
 
     frequent: np.ndarray
     root: np.ndarray
-    arcs: np.ndarray
-    weights: np.ndarray
     fail: np.ndarray
-    end: int
+    count: np.ndarray
+    none: float
+    arcs: np.ndarray
+    more: np.ndarray
+    sketch: np.ndarray | None = None
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes among the frequent words, and which are such."""
+        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+        return at, self.frequent[at] == h
 
-    def run(self, ids: np.ndarray) -> tuple[float, float]:
-        """(score, base score) of a text's words and end, without the root's weights of words that aren't frequent.
+    def run(self, h: np.ndarray) -> tuple[float, float, int, np.ndarray]:
+        """(score, base score, known words and end) of a text's words as far as broadcast, and the keys to look up for the rest.
 
-        Each token leaves the state that the one before it led to, from left to right; a word that isn't frequent leads to
-        the root (-1), which has no failure arc.
+        Each token leaves the state that the one before it led to, from left to right: on an arc, or by the failure arc and
+        the root. Words and pairs outside count as unknown until the join adds what they are more.
         """
-        n = len(self.frequent)
-        state, token = np.concatenate([[n], ids]), np.concatenate([ids, [self.end]])
-        known = token >= 0
-        base = np.where(known, self.root[token], 0.0) if n else np.zeros(len(token))
-        weight = base + np.where(state >= 0, self.fail[state], 0.0)
+        seq = np.concatenate([[_BEGIN], h, [_END]])
+        at, known = self.find(seq)
+        rare = seq[~known]
+        base = float(self.root[at[1:]][known[1:]].sum()) + self.none * len(rare)
+        score = base + float(self.fail[at[:-1]][known[:-1]].sum())
+        key = pair_keys(seq[:-1], seq[1:])
         if len(self.arcs):
-            both = np.flatnonzero(known & (state >= 0))
-            key = state[both] * (n + 1) + token[both]
-            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[at] == key
-            weight[both[hit]] = self.weights[at[hit]]
-        return float(weight.sum()), float(base.sum())
-
+            place = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[place] == key
+            score += float(self.more[place[hit]].sum())
+            key = key[~hit]
+        key = np.concatenate([key, rare.view(np.uint64)])
+        if self.sketch is not None:
+            key = key[_in(self.sketch, key)]
+        return score, base, int(known[1:].sum()), key.view(np.int64)
+
+
+def sketch(keys: DataFrame) -> np.ndarray | None:
+    """A bitmap that has the bit of each of these keys, and of few others; None if there are too many for FILTER_BITS."""
+    n = keys.count()
+    if n > 1 << (FILTER_BITS - 2):
+        return None
+    bits = min(FILTER_BITS, max(16, (n * 16).bit_length()))
+    place = F.shiftrightunsigned("key", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")
+    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("word")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _in(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def arc_more(c: Column, history: Column, left: Column, p: Column) -> Column:
+    """log10 of an arc's weight, less those of the failure arc and the root that it stands for."""
+    return F.log10((c - DISCOUNT) / history + left * p) - F.log10(left) - F.log10(p)
+
+
+def other_arcs(pairs: DataFrame, states: DataFrame, model: Automaton, z: float) -> DataFrame:
+    """key, more of pairs (first, second, c). Frequent words' counts come from the broadcast model, others' by joins without hot keys."""
+    shared = pairs.sparkSession.sparkContext.broadcast((model.frequent, model.count, 10.0**model.fail, 10.0**model.root))
+    names = ["key", "c", "at1", "at2", "history", "left", "p"]
+    types = [pa.int64()] * 4 + [pa.float64()] * 3
 
-def build(frequent: np.ndarray, count: np.ndarray, pairs: np.ndarray, pair_count: np.ndarray, n_texts: int, total: int, distinct: int) -> Automaton:
-    n = len(frequent)
-    z = total + ADD * (distinct + 1)
-    root = np.log10((count + ADD) / z)
-    first, second = pairs // (n + 1), pairs % (n + 1)
-    history = np.append(count, n_texts).astype(float)  # how often each state is left
-    part = (pair_count - DISCOUNT) / history[first]
-    left = 1.0 - np.bincount(first, weights=part, minlength=n + 1)
-    weights = np.log10(part + left[first] * 10.0 ** root[second])
-    end = int(np.searchsorted(frequent, _hash(END)))
-    return Automaton(frequent, root, pairs, weights, np.log10(np.maximum(left, 1e-12)), end)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, count, left, root = shared.value
 
+        def find(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+            return at, frequent[at] == h
 
-def score_documents(docs: DataFrame, train: Column, frequent_share: float = FREQUENT) -> DataFrame:
+        for batch in batches:
+            first, second, c = (batch.column(i).to_numpy() for i in range(3))
+            key = pair_keys(first, second).view(np.int64)
+            (a, known1), (b, known2) = find(first), find(second)
+            # what is known is joined by the pair's own key, which spreads it and finds nothing that counts
+            columns = [key, c, np.where(known1, key, first), np.where(known2, key, second)]
+            made = [pa.array(x) for x in columns]
+            made += [pa.array(x[at].astype(float), mask=~known) for x, at, known in ((count, a, known1), (left, a, known1), (root, b, known2))]
+            yield pa.RecordBatch.from_arrays(made, schema=pa.schema(list(zip(names, types, strict=True))))
+
+    found = pairs.select("first", "second", "c").mapInArrow(run, "key long, c long, at1 long, at2 long, history double, left double, p double")
+    one = states.select(F.col("word").alias("at1"), F.col("c").alias("c1"), F.col("left").alias("left1"))
+    two = states.select(F.col("word").alias("at2"), ((F.col("c") + ADD) / F.lit(z)).alias("p2"))
+    both = F.col("history").isNotNull() & F.col("p").isNotNull()
+    rest = found.where(~both).join(one, "at1", "left").join(two, "at2", "left")
+    rest = rest.select("key", arc_more(F.col("c"), F.coalesce("history", "c1"), F.coalesce("left", "left1"), F.coalesce("p", "p2")).alias("more"))
+    return found.where(both).select("key", arc_more(F.col("c"), F.col("history"), F.col("left"), F.col("p")).alias("more")).unionAll(rest)
+
+
+def score_documents(docs: DataFrame, train: Column, frequent_share: float = 0.0, broadcast_share: float = FREQUENT) -> DataFrame:
     """Scores docs (doc_id, text) by a model of those where `train` holds.
 
     Returns doc_id, n_tokens (words and one end), n_known (tokens seen in training), train_tokens, base_score, score: a row
     per row of docs. A null or empty text is its end alone. Repeated rows count and are scored each; extra columns are
     ignored. Without training texts all counts are 0, and base_score and score are 0.
 
-    Three passes over the texts count words, count pairs of frequent words, and score. Counts are summed within tasks before
-    the shuffle. What is broadcast is bounded by 1 / frequent_share words and pairs.
+    frequent_share prunes the model on demand: pairs below that share of the training tokens have no arc. By default every
+    pair that occurs LEAST_PAIR times has one. broadcast_share changes no result: it tells what is broadcast, at most
+    1 / broadcast_share words and pairs.
+
+    Three passes over the texts count words, count pairs, and score. Counts are summed within tasks before the shuffle. Keys
+    that the table of rare weights lacks aren't looked up, as far as a bitmap of bounded size can tell.
     """
     spark = docs.sparkSession
     texts = docs.where(train).select("text")
     counts = materialize(word_counts(texts), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    often = counts.where((F.col("c") >= frequent_share * total) | (F.col("word") == _hash(END))).toPandas().sort_values("word")
-    frequent, count = often["word"].to_numpy(np.int64), often["c"].to_numpy(np.int64)
-    n_texts = int(count[np.searchsorted(frequent, _hash(END))]) if total else 0
-    if total:
-        end = int(np.searchsorted(frequent, _hash(END)))
-        pairs = pair_counts(texts, frequent, end).where(F.col("c") >= max(LEAST_PAIR, frequent_share * total)).toPandas().sort_values("pair")
-        model = build(frequent, count, pairs["pair"].to_numpy(np.int64), pairs["c"].to_numpy(np.int64), n_texts, total, distinct)
-    else:
-        z = np.zeros(0, np.int64)
-        model = Automaton(z, np.zeros(0), z, np.zeros(0), np.zeros(1), -1)
+    ids = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    if not total:
+        n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long") + 1
+        zero = F.lit(0).cast("long")
+        return ids.select("doc_id", n.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+    z = total + ADD * (distinct + 1)
+    pairs = materialize(pair_counts(texts).where(F.col("c") >= max(LEAST_PAIR, frequent_share * total)), "pairs")
+    mass = pairs.groupBy(F.col("first").alias("word")).agg(F.sum(F.col("c") - DISCOUNT).alias("mass"))
+    begin = counts.where(F.col("word") == _END).select(F.lit(_BEGIN).alias("word"), "c")  # a text begins as often as one ends
+    states = counts.unionAll(begin).join(mass, "word", "left")
+    states = materialize(states.select("word", "c", (1.0 - F.coalesce("mass", F.lit(0.0)) / F.col("c")).alias("left")), "states")
+    often = (F.col("c") >= broadcast_share * total) | F.col("word").isin(_BEGIN, _END)
+    frequent = states.where(often).toArrow().sort_by("word")
+    c, left = frequent["c"].to_numpy(), frequent["left"].to_numpy()
+    none = float(np.log10(ADD / z))
+    no_arcs = np.zeros(0, np.uint64), np.zeros(0)
+    model = Automaton(frequent["word"].to_numpy(), np.log10((c + ADD) / z), np.log10(left), c, none, *no_arcs)
+
+    arcs = F.col("c") >= broadcast_share * total
+    shared_arcs = pairs.where(arcs).toArrow()
+    if len(shared_arcs):
+        first, second, c = (shared_arcs[x].to_numpy() for x in ("first", "second", "c"))
+        (a, _), (b, _) = model.find(first), model.find(second)
+        part = (c - DISCOUNT) / model.count[a]
+        more = np.log10(part + 10.0 ** (model.fail[a] + model.root[b])) - model.fail[a] - model.root[b]
+        key = pair_keys(first, second)
+        by_key = np.argsort(key)
+        model.arcs, model.more = key[by_key], more[by_key]
+    base = F.log10((F.col("c") + ADD) / ADD)
+    rare_words = states.where(~often).select(F.col("word").alias("key"), base.alias("base"), (base + F.log10("left")).alias("more"), F.lit(1).alias("seen"))
+    rare_arcs = other_arcs(pairs.where(~arcs), states, model, z).select("key", F.lit(0.0).alias("base"), "more", F.lit(0).alias("seen"))
+    weights = materialize(rare_words.unionAll(rare_arcs), "weights")
+    model.sketch = sketch(weights.select("key"))
     shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        reader = _Reader(automaton.frequent)
+        automaton, hashes = shared.value, WordHashes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             for i in range(0, len(ids), 500):
                 rows, rare, times = [], [], []
                 for doc_id, text in zip(ids[i : i + 500], texts[i : i + 500], strict=True):
-                    h, numbers = reader.read(text)
-                    score, base = automaton.run(numbers)
-                    other, c = np.unique(h[numbers < 0], return_counts=True)
-                    rows.append((doc_id, len(h) + 1, int((numbers >= 0).sum()) + (automaton.end >= 0), base, score))
-                    rare.append(other)
+                    h = _signed(hashes.of(words(text)))
+                    score, base, known, keys = automaton.run(h)
+                    keys, c = np.unique(keys, return_counts=True)
+                    rows.append((doc_id, len(h) + 1, known, base, score))
+                    rare.append(keys)
                     times.append(c)
                 ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((rare, pa.int64()), (times, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types[:5], strict=True)), *lists], schema=schema)
 
-    scored = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>")
+    scored = ids.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, keys array<long>, times array<int>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    log = F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(total + ADD * (distinct + 1)))
-    rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("seen"))
-    out = scored.drop("words", "times").join(rare, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    if not total:
-        more = F.lit(0.0)
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("n"))
+    sums = [F.sum(F.col("n") * F.col(x)).alias(f"{x}_more") for x in ("base", "more", "seen")]
+    out = scored.drop("keys", "times").join(rare.join(weights, "key").groupBy("row").agg(*sums), "row", "left")
+    plus = lambda x, y: F.col(x) + F.coalesce(y, F.lit(0))
+    return out.select("doc_id", "n_tokens", plus("n_known", "seen_more").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "base_more").alias("base_score"), plus("score", "more_more").alias("score"))

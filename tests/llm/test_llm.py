@@ -348,6 +348,30 @@ def test_scores_agree_with_a_plain_model(spark):
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score, alone.score) == (3, 0, 0, 0.0, 0.0)
 
 
+def test_repeated_pairs_keep_their_arcs_at_every_size(spark):
+    texts = ["w " * 1_500_000, "w " * 1_500_000, "rare pair", "rare pair", "rare pair", "pair rare"]
+    df = docs(spark, texts)
+    found = {r.doc_id: r for r in lm.score_documents(df, F.col("doc_id") < 4).collect()}
+    total, log = 3_000_008, math.log10
+    z = total + 0.1 * 5  # the words w, rare, pair and the end, and one unseen
+    p = {"pair": (2 + 0.1) / z, "rare": (2 + 0.1) / z, "end": (4 + 0.1) / z}
+    left = {"begin": 1 - 2 * 1.25 / 4, "rare": 1 - 1.25 / 2, "pair": 1 - 1.25 / 2}
+    arc = lambda history, n, word: log(1.25 / n + left[history] * p[word])
+    assert math.isclose(found[4].base_score, sum(map(log, p.values())), rel_tol=1e-9)
+    assert math.isclose(found[4].score, arc("begin", 4, "rare") + arc("rare", 2, "pair") + arc("pair", 2, "end"), rel_tol=1e-9)
+
+
+def test_what_is_broadcast_changes_no_score(spark):
+    rng = random.Random(10)
+    df = docs(spark, [prose(rng, 60, 80) for _ in range(60)] + [None, "words never seen before"])
+    train = ~lm.held_out(F.col("doc_id"), 4)
+    runs = [lm.score_documents(df, train, broadcast_share=x).orderBy("doc_id").collect() for x in (0.0, 0.002, 1.0)]
+    for a, b, c in zip(*runs, strict=True):
+        assert a[:4] == b[:4] == c[:4]
+        assert np.allclose([b[4:], c[4:]], [a[4:]] * 2, rtol=1e-9)
+    assert any(r.score > r.base_score for r in runs[0])
+
+
 # 10: fingerprints
 
 
