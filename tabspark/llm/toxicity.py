@@ -7,6 +7,7 @@ as its most toxic window, wherever in the text that is. (One average over a long
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,16 +36,37 @@ ROUNDS = 60
 SURE, LIKELY = 3.0, 2.0
 DECAY = 1e-3
 KEEP_WORDS = 300_000
+#: A run of more bytes (text without spaces, say) is no single word: it is as toxic as its most toxic part.
+LONGEST_WORD = 64
+#: Bytes of the pieces of a long run, at each of its places.
+PIECES = (8, 12, 16, 24, 32, 48, 64)
+#: A long run is read in blocks of so many bytes that overlap by its longest piece.
+BLOCK = 1 << 16
 _EDGE = b".,;:!?\"'()[]{}<>*$%&#|`~-_/\\"
 
 
+_PARTS = re.compile(b"[" + re.escape(_EDGE) + b"]+")
+
+
 def grams(word: bytes) -> list[int]:
     """Buckets of a word's character n-grams (of bytes, the word's ends marked) and of the word itself."""
-    w = b"<" + (word.strip(_EDGE) or word)[:64] + b">"
+    w = b"<" + (word.strip(_EDGE) or word) + b">"
     found = [zlib.crc32(w[i : i + n]) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)]
     return [*found, zlib.crc32(w) % BUCKETS]
 
 
+def parts(words_: list[bytes]) -> list[bytes]:
+    """Words to learn from: of a long run what lies between its marks, and that in overlapping pieces where it is long itself."""
+    out = []
+    for word in words_:
+        if len(word) <= LONGEST_WORD:
+            out.append(word)
+            continue
+        for part in filter(None, _PARTS.split(word)):
+            out += [part[i : i + LONGEST_WORD] for i in range(0, max(1, len(part) - LONGEST_WORD // 2), LONGEST_WORD // 2)]
+    return out or words_[:1]
+
+
 def windows(s: np.ndarray) -> np.ndarray:
     """Means of WINDOW neighbours; of all if there are fewer."""
     if len(s) <= WINDOW:
@@ -128,11 +150,30 @@ class WordScores(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) >= KEEP_WORDS:
             self.clear()
+        if len(word) > LONGEST_WORD:
+            return self.of_run(word)
         g = grams(word)
         b = self.by_bucket
         self[word] = s = sum([b[x] for x in g]) / len(g)
         return s
 
+    def of_run(self, run: bytes) -> float:
+        """A long run's most toxic part: a word between its marks, or a piece of it anywhere. Not kept, however long it is."""
+        best = max((self[w] for w in _PARTS.split(run) if 0 < len(w) <= LONGEST_WORD), default=-np.inf)
+        b, step = self.by_bucket, BLOCK - max(PIECES)
+        for start in range(0, max(1, len(run) - max(PIECES)), step):
+            w = run[start : start + BLOCK]
+            sums = {}
+            for n in range(SHORTEST, LONGEST + 1):
+                sums[n] = np.cumsum([0.0, *(b[zlib.crc32(w[i : i + n]) % BUCKETS] for i in range(len(w) - n + 1))])
+            for size in PIECES:
+                if size > len(w):
+                    break
+                at = np.arange(len(w) - size + 1)
+                held = sum(sums[n][at + size - n + 1] - sums[n][at] for n in sums)
+                best = max(best, float(held.max()) / sum(size - n + 1 for n in sums))
+        return best
+
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Trains on about per_class toxic and twice as many clean documents, chosen by the hashes of the ids in labels (doc_id, toxic).
@@ -146,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     chosen = materialize(one.where(uniform(F.col("doc_id"), "toxic") < share), "lessons")
     rows = by_keys(docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST_LESSON), chosen.select("doc_id"), "doc_id", "left_semi").join(chosen, "doc_id")
     found = sorted({(r.text, r.toxic > 0) for r in rows.select("text", "toxic").toLocalIterator()})
-    lessons = [(ws, y) for t, y in found if (ws := words(t.encode("utf-8", "surrogatepass")))]
+    lessons = [(ws, y) for t, y in found if (ws := parts(words(t.encode("utf-8", "surrogatepass"))))]
     toxic = np.array([y for _, y in lessons], bool)
     if not toxic.any() or toxic.all():
         return Model()
@@ -156,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0) added, replaced if docs has such.
 
-    Each whole text is read; null texts and texts without words score as the bias alone. Only the text tells. Repeated rows
+    Each whole text is read, and long runs without spaces in pieces; null texts and texts without words score as the bias alone. Only the text tells. Repeated rows
     and null ids are rows like any other. One pass, no shuffle.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]

@@ -265,6 +265,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxic_words_behind_the_first_bytes_of_a_run(spark):
+    rng = random.Random(2)
+    marks = [rng.random() < 0.3 for _ in range(300)]
+    df = docs(spark, [prose(rng, 40) + (" " + rng.choice(["horrible", "nastiness"]) if m else "") for m in marks])
+    model = toxicity.fit(df, spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks)], "doc_id long, toxic int"))
+    clean = prose(rng, 60)
+    runs = ["_".join(clean.split()), "".join(clean.split()), "x" * 70_000]
+    texts = [*runs, runs[0] + "_horrible", runs[1] + "horrible" + runs[1], runs[2] + "nastiness", runs[2] + "/horrible/" + "x" * 200]
+    assert [r.predicted for r in toxicity.score(docs(spark, texts), model).orderBy("doc_id").collect()] == [0, 0, 0, 1, 1, 1, 1]
+    long = b"y" * 100 + b"nastiness"
+    assert any(b"nastiness" in x for x in toxicity.parts([long])) and max(map(len, toxicity.parts([long]))) <= toxicity.LONGEST_WORD
+
+
 # 7: tokens
 
 
