@@ -55,11 +55,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold at least 0.8 of a benchmark item's five-word shingles. Rows without doc_id go by their text."""
+    """Rejects documents that hold at least 0.8 of a benchmark item's five-word shingles, each row by its own text, with or without doc_id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialize(decontaminate.contaminated(docs.select("doc_id", "text").where("doc_id is not null"), items).select("doc_id").distinct(), "leaks")
-    kept = by_keys(docs.where("doc_id is not null"), found, "doc_id", "left_anti").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    row = next(x for x in ("_row" + "_" * i for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = decontaminate.contaminated(rows.select(F.col(row).alias("doc_id"), "text"), items)
+    found = materialize(found.select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return by_keys(rows, found, row, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

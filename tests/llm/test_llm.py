@@ -496,6 +496,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert not ({240, 241, 242, 8, 11, 5} & set(kept)) and len(toxic & set(kept)) <= 2 and all(r.taken > 0 for r in rows)
 
 
+def test_rows_without_id_are_decontaminated(spark, tmp_path):
+    import corpus_pipeline as P
+
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item + " after"), (None, "clean text of its own"), (3, item), (4, "clean too"), (None, None)]
+    kept = P.decontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_shingles_as_defined():
     h = WordHashes()
     assert len(shingle_set(h.of(words(b"A b\tc\x0bd a b c")), 3)) == 4 and len(shingle_set(h.of(words("é x".encode())), 3)) == 1
