@@ -76,18 +76,24 @@ def from_json(spark: SparkSession, path: str, field_names: list[str] | None = No
 
 
 def from_ndjson(spark: SparkSession, path: str, field_names: list[str] | None = None) -> Query:
-    """Lines of objects, parsed by the executors, split and of any number. Headers come from one pass over the keys."""
+    """Lines of objects, parsed by the executors, split and of any number. Headers come from one pass over the keys.
+
+    A line may hold several objects one after another, or an array of them, or none: each object is a row.
+    """
     lines = spark.read.text(path)
     order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     lines = lines.select("value", order.alias(ORDER)).where(F.trim("value") != "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [{k: _nested(v) for k, v in sorted(r.items())} for text in batch.column(0).to_pylist() for r in [next(iter(_load(text)))]]
-            yield pa.RecordBatch.from_arrays([pa.array([list(c.items()) for c in cells], pa.map_(pa.string(), pa.string())), batch.column(1)], names=["cells", ORDER])
+            found = [(line, at, r) for line, text in enumerate(batch.column(0).to_pylist()) for at, r in enumerate(_load(text))]
+            cells = [[(k, _nested(v)) for k, v in sorted(r.items())] for _, _, r in found]
+            place = batch.column(1).take(pa.array([line for line, _, _ in found], pa.int64()))
+            order = pa.StructArray.from_arrays([place, pa.array([at for _, at, _ in found], pa.int32())], names=["line", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.map_(pa.string(), pa.string())), order], names=["cells", ORDER])
 
     schema = lines.schema
-    made = lines.mapInArrow(run, f"cells map<string,string>, `{ORDER}` {schema[ORDER].dataType.simpleString()}")
+    made = lines.mapInArrow(run, f"cells map<string,string>, `{ORDER}` struct<line: {schema[ORDER].dataType.simpleString()}, at: int>")
     if field_names is None:
         keys = made.select(ORDER, F.posexplode(F.map_keys("cells")).alias("at", "key"))
         first = keys.groupBy("key").agg(F.min(F.struct(ORDER, "at")).alias("first"))

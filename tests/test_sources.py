@@ -108,6 +108,13 @@ def test_compressed(spark, tmp_path, ext):
     assert read_bytes(spark, p).startswith(b"id,name\n0,n0\n")
 
 
+def test_lines_of_several_json_objects(spark, tmp_path):
+    p = write(tmp_path / "a.ndjson", '{"a": 1}{"a": 2} {"b": 3}\n\n[{"a": 4}, {"a": 5}]\n[]\n{"a": 6}\n')
+    q = jsonx.from_ndjson(spark, p)
+    assert q.headers == ["a", "b"]
+    assert q.to_rows() == [["1", ""], ["2", ""], ["", "3"], ["4", ""], ["5", ""], ["6", ""]]
+
+
 def test_json(spark, tmp_path):
     p = write(tmp_path / "a.json", '[{"id": 9007199254740993, "x": 1.50, "n": null}, {"id": 2, "o": {"b": [1, "<"], "a": true}}]')
     q = jsonx.from_json(spark, p)
