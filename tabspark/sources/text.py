@@ -302,8 +302,31 @@ def open_csv(spark: SparkSession, path: str, options: Options | None = None, nat
     return Query(made, headers, columns)
 
 
+def _native_shape(spark: SparkSession, path: str, o: Options, header: bool) -> tuple[bool, int]:
+    """(whether a quoted cell may hold a line end, most cells of a record; 0 with a header), by a pass over all files.
+
+    A line with an odd number of quotes begins or ends inside a quoted cell.
+    """
+    lines = spark.read.text(path).select("value")
+    ascii_like = not o.encoding or not o.encoding.lower().startswith(("utf-16", "utf16", "utf-32", "utf32"))
+    quoted_lines = not ascii_like or not lines.where((F.length("value") - F.length(F.replace("value", F.lit(o.quote), F.lit("")))) % 2 == 1).isEmpty()
+    if header:
+        return quoted_lines, 0
+    if quoted_lines:
+        return True, read_cells(spark, path, replace(o, errors="collect", fields=0)).agg(F.max(F.size("_cells"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 0
+        for batch in batches:
+            parser = Parser(replace(o, errors="collect", fields=0), o.delimiter)
+            width = max(width, max((len(cells) for cells, _ in parser.rows(x + "\n" for x in batch.column(0).to_pylist())), default=0))
+        yield pa.RecordBatch.from_pydict({"width": [width]}, schema=pa.schema([("width", pa.int32())]))
+
+    return False, lines.mapInArrow(run, "width int").agg(F.max("width")).first()[0] or 0
+
+
 def _open_native(spark: SparkSession, path: str, o: Options, header: bool, found: list[list[str]]) -> Query:
-    width = max(map(len, found), default=0)
+    quoted_lines, width = _native_shape(spark, path, o, header)
     headers = found[0] if header and found else [f"column{i + 1}" for i in range(width)]
     columns = physical_names(headers)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -312,7 +335,6 @@ def _open_native(spark: SparkSession, path: str, o: Options, header: bool, found
         reader = reader.option("comment", o.comment)
     if o.encoding:
         reader = reader.option("encoding", o.encoding)
-    quoted_lines = any("\n" in c for row in found for c in row)
     df = reader.option("multiLine", quoted_lines).csv(path)
     df = df.withColumn(ORDER, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     return Query(df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns], ORDER), headers, columns)

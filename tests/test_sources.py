@@ -108,6 +108,18 @@ def test_compressed(spark, tmp_path, ext):
     assert read_bytes(spark, p).startswith(b"id,name\n0,n0\n")
 
 
+def test_native_reader_looks_beyond_the_sample(spark, tmp_path):
+    o = text.Options(header=False)
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "a.csv", "1,x\n" * 4000)
+    write(tmp_path / "d" / "b.csv", "2,y\n" * 4000 + '3,"two\nlines",z\n')
+    q = text.open_csv(spark, str(tmp_path / "d"), o, native=True)
+    assert q.headers == ["column1", "column2", "column3"]
+    assert q.df.count() == 8001 and q.to_rows()[-1] == ["3", "two\nlines", "z"]
+    p = write(tmp_path / "wide.csv", "1,x\n" * 4000 + '2,"a,b",c,d\n')
+    assert text.open_csv(spark, p, o, native=True).to_rows()[-1] == ["2", "a,b", "c", "d"]
+
+
 def test_lines_of_several_json_objects(spark, tmp_path):
     p = write(tmp_path / "a.ndjson", '{"a": 1}{"a": 2} {"b": 3}\n\n[{"a": 4}, {"a": 5}]\n[]\n{"a": 6}\n')
     q = jsonx.from_ndjson(spark, p)
