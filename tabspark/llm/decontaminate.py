@@ -1,10 +1,11 @@
 """Benchmark decontamination: MinHash containment search, partitioned by size, then exact shingle containment.
 
-An item's MinHash signature names, for each of m permutations, the shingle of least value, which is a uniform sample of the
-item's shingles; the share of the sample that a document holds estimates the share of the item that it contains. The
-document's length doesn't matter to that estimate, unlike to one of Jaccard similarity. Items are partitioned by size: each
-partition has its own signature length (items up to it are their own signature) and hit threshold, and is skipped for
-documents that are too short to hold enough of any of its items.
+An item's MinHash signature is its m shingles of least value under one permutation (a bottom-m sketch), a uniform sample; the
+share of it that a document holds estimates the share of the item that it contains. The document's length doesn't matter to
+that estimate, unlike to one of Jaccard similarity, so a document's shingles are all looked up. Items are partitioned by size:
+each partition has its own signatures and is skipped for documents that are too short to hold enough of any of its items. A
+document that contains an item lacks at most e of its shingles, so of a signature of SAMPLE + e values it holds SAMPLE at
+least: what holds fewer is no candidate, and no item is missed.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabspark.llm.text import WordHashes, as_bytes, mix, shingle_set, words
+from tabspark.llm.store import materialize
+from tabspark.llm.text import as_bytes, mix, shingle_sets
 
-#: Permutations for items of more shingles; a candidate may miss its expected hits by four standard deviations.
-PERMUTATIONS = 64
+#: A signature has so many values more than the shingles of its item that a document may lack.
+SAMPLE = 64
 #: Items and bytes of items that are searched for at once; more are searched for in further blocks.
 BLOCK_ITEMS = 50_000
 BLOCK_BYTES = 64 << 20
 _FILTER_BITS = 22
+_SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
 class SizePartition:
@@ -32,21 +35,17 @@ class SizePartition:
 
     def __init__(self, low: int, items: list[tuple[int, np.ndarray]], least: float) -> None:
         self.low, self.items = low, items
-        value, item, weight = [], [], []
-        self.needed = np.empty(len(items))
+        value, item = [], []
+        self.needed = np.empty(len(items), np.int64)
         for i, (_, f) in enumerate(items):
-            if len(f) <= PERMUTATIONS:
-                minima, hits, m, slack = f, np.ones(len(f)), len(f), 0.0
-            else:
-                seeds = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
-                minima, hits = np.unique(f[np.array([mix(f ^ s).argmin() for s in seeds])], return_counts=True)
-                m, slack = PERMUTATIONS, 4 * math.sqrt(PERMUTATIONS * least * (1 - least))
+            lacking = int((1 - least) * len(f) + 1e-9)
+            m = min(len(f), SAMPLE + lacking)
+            minima = f[np.argpartition(mix(f ^ _SEED), m - 1)[:m]]
             value.append(minima)
-            item.append(np.full(len(minima), i))
-            weight.append(hits)
-            self.needed[i] = least * m - slack - 1e-9
+            item.append(np.full(m, i))
+            self.needed[i] = m - lacking
         order = np.argsort(v := np.concatenate(value), kind="stable")
-        self.item, self.weight = np.concatenate(item)[order], np.concatenate(weight)[order]
+        self.item = np.concatenate(item)[order]
         self.value, start = np.unique(v[order], return_index=True)
         self.start = np.append(start, len(v))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
@@ -62,15 +61,13 @@ class SizePartition:
         if not len(at):
             return at
         places = np.concatenate([np.arange(self.start[a], self.start[a + 1]) for a in at])
-        found, back = np.unique(self.item[places], return_inverse=True)
-        return found[np.bincount(back, weights=self.weight[places]) >= self.needed[found]]
+        found, hits = np.unique(self.item[places], return_counts=True)
+        return found[hits >= self.needed[found]]
 
 
 def build_index(items: list[tuple[int, bytes | None]], k: int, least: float) -> list[SizePartition]:
-    hashes = WordHashes()
     by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for item_id, text in items:
-        f = shingle_set(hashes.of(words(text)), k)
+    for (item_id, _), f in zip(items, shingle_sets((text for _, text in items), k), strict=True):
         if len(f):
             by_size.setdefault(1 << (len(f).bit_length() - 1), []).append((item_id, f))
     return [SizePartition(low, found, least) for low, found in sorted(by_size.items())]
@@ -111,16 +108,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
         shared = spark.sparkContext.broadcast(build_index([(r.item_id, r.text.encode("utf-8", "surrogatepass") if r.text else None) for r in rows], k, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, index = WordHashes(), shared.value
+            index = shared.value
             for batch in batches:
                 found = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                    f = shingle_set(hashes.of(words(text)), k)
+                for doc_id, f in zip(batch.column(0).to_pylist(), shingle_sets(as_bytes(batch.column(1)), k), strict=True):
                     if len(f):
                         found += [(doc_id, *x) for x in search(index, f, least)]
                 cols = zip(*found, strict=True) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_shared"])
 
         part = texts.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
+        if blocks > 1:  # one block's index at a time is with the executors
+            part = materialize(part, "found")
+            shared.unpersist()
         out = part if out is None else out.union(part)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -1,293 +1,408 @@
 """Language-model scores from a weighted backoff automaton.
 
-States are histories of one word; a state has arcs for the words that follow it often, weighted by the logarithm of an
-absolutely discounted and interpolated probability, and a failure arc, weighted by the mass left, to the root. The root's
-arcs are the additively smoothed word probabilities. A text is scored in one pass from left to right: each token is read on
-an arc of the state at hand, or else on the root's after its failure arc, and leads to its own state.
-
-Every word is a state, and every pair that occurs LEAST_PAIR times in training has its arc, at every size. Those of at least
-FREQUENT of all training tokens are broadcast; since shares add up to 1, no corpus has more than 1 / FREQUENT of either. The
-weights of all rarer words and pairs lie in a partitioned table, and a join brings them to the documents that hold them; no
-key of that join is hot.
+States are histories of two words, of one, and the root. A state has an arc for each word that follows it in training,
+weighted by the logarithm of (c(history, word) + PRIOR * p(word | shorter history)) / (c(history) + PRIOR), and a failure arc,
+weighted by PRIOR / (c(history) + PRIOR), to the shorter history. The root's arcs are the additively smoothed words. A text is
+read once from left to right: from the state at hand a token is read on its arc, or failure arcs are followed until one has
+it, and leads to the longest history that the model knows. Nothing is pruned: what occurs once in training has its arc.
+
+The model of a corpus fits no machine, but what a block of texts can ever ask of it does. Each block of bounded size sends
+its distinct n-grams, with their counts, to the buckets of their hashes; a bucket adds up what it gets and answers each block
+with the sums, in the order asked. So every n-gram crosses the network once for a block, however often it occurs, no answer
+repeats a key, and no key is hot. With the sums a block builds its own part of the automaton, which has all that it needs.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm.store import materialize
-from tabspark.llm.text import WordHashes, as_bytes, words
+from tabspark.llm.text import as_bytes, mix, word_hashes
 
-#: Least share of the training tokens of a word or pair that is broadcast; there are at most 1 / FREQUENT of either.
-FREQUENT = 1e-6
-DISCOUNT = 0.75
-#: A pair that occurs once isn't evidence.
-LEAST_PAIR = 2
 ADD = 0.1
-#: Neither holds a space alone as words can't: no word is like them.
-BEGIN, END = b" begin", b" end"
-#: A task gives its counts on when it has so many.
-FLUSH = 1_000_000
-#: Bits of the bitmap of rare keys (16 MB).
-FILTER_BITS = 27
+#: What the shorter history's estimate counts for.
+PRIOR = 4.0
+#: Tokens of a block, and of the parts in which texts are read side by side. Word numbers of a block fit in 21 bits.
+BLOCK_TOKENS = 1_900_000
+PART = 1024
+#: Bytes of text for each bucket of n-grams.
+BUCKET_BYTES = 8 << 20
+#: Words can't hold spaces: none is like these two.
+BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_BITS = np.uint64(21)
+_LOW = np.uint64((1 << 21) - 1)
+
+_COLUMNS = [("to", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("tokens", pa.int64()), ("words", pa.int64()), ("data", pa.binary())]
+_MESSAGE = pa.schema(_COLUMNS)
+MESSAGE = "to long, kind int, block long, tokens long, words long, data binary"
+#: Kinds of messages: a block's texts, its n-grams or their sums, and training totals.
+TEXTS, GRAMS, TOTALS = 0, 1, 2
+SCORES = "row long, doc_id long, n long, known long, base double, score double"
+_SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+def held_out(doc_id: Column, of: int, remainder: int = 0) -> Column:
+    """crc32(doc_id as text) mod `of` is `remainder`; a null id counts as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == remainder
 
 
-_BEGIN, _END = _hash(BEGIN), _hash(END)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; equal bytes of neighbours stand side by side."""
+    out = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+        data = pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True) if planes else b""
+        out += [struct.pack("<cQQ", a.dtype.char.encode(), len(a), len(data)), data]
+    return b"".join(out)
 
 
-def _signed(h: np.ndarray) -> np.ndarray:
-    """WordHashes' hashes as _hash has them."""
-    return (h ^ np.uint64(1 << 63)).view(np.int64)
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<cQQ", data, at)
+        dtype = np.dtype(kind.decode())
+        at += 17
+        planes = pa.Codec("zstd").decompress(data[at : at + size], n * dtype.itemsize, asbytes=True) if n else b""
+        out.append(np.frombuffer(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T.tobytes(), dtype))
+        at += size
+    return out
 
 
-def held_out(doc_id: Column, of: int, remainder: int = 0) -> Column:
-    """crc32(doc_id as text) mod `of` is `remainder`; a null id counts as the empty text, whose crc32 is 0."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == remainder
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Which values of a sorted array differ from the one before."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (a 64-bit hash), c: counts over all texts, the end of each counted as a word."""
-    schema = pa.schema([("word", pa.int64()), ("c", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+@dataclass
+class Block:
+    """Parts of texts: tokens as numbers of `words` (sorted hashes); each part begins with `context` tokens of the one before
+    (or the beginning), which are read but not scored."""
+
+    words: np.ndarray
+    tokens: np.ndarray
+    size: np.ndarray
+    context: np.ndarray
+    train: np.ndarray
+    row: np.ndarray
+    doc_id: np.ndarray
+    has_id: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[int, int | None, bool, int, np.ndarray]]) -> Block:
+        rows, ids, train, context, seqs = zip(*parts, strict=True)
+        words, tokens = np.unique(np.concatenate(seqs), return_inverse=True)
+        return cls(
+            words,
+            tokens.astype(np.uint32),
+            np.array([len(s) for s in seqs], np.int64),
+            np.array(context, np.int8),
+            np.array(train, np.int8),
+            np.array(rows, np.int64),
+            np.array([x or 0 for x in ids], np.int64),
+            np.array([x is not None for x in ids], np.int8),
+        )
+
+    def packed(self) -> bytes:
+        return pack(self.words, self.tokens, self.size, self.context, self.train, self.row, self.doc_id, self.has_id)
+
+
+class Grams:
+    """The distinct n-grams of a block, their training counts in it, and hashes by which all blocks know them.
+
+    code[n] numbers an n-gram of the block, count[n] is how often it ends in a token that is scored in training, and at3 a
+    place where each triple ends. pair: of each place but the first of a part, which pair ends there. keys, order: the hashes
+    of all, and their rising order; the two low bits are n, or 0 for the beginning of a text.
+    """
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in counts], pa.int64()), pa.array([*counts.values()], pa.int64())], schema=schema)
-            counts.clear()
-            return out
+    def __init__(self, block: Block) -> None:
+        t = block.tokens.astype(np.uint64)
+        first = np.cumsum(block.size) - block.size
+        place = np.arange(len(t)) - np.repeat(first, block.size)
+        scored = place >= np.repeat(block.context, block.size)
+        learnt = scored & np.repeat(block.train == 1, block.size)
+        self.scored, self.first = scored, first
+        words = block.words
+        count1 = np.bincount(block.tokens[learnt], minlength=len(words))
+        begin = np.searchsorted(words, BEGIN)
+        self.begin = int(begin) if begin < len(words) and words[begin] == BEGIN else -1
+        if self.begin >= 0:  # counted as often as a text that is learnt begins
+            starts = (place == 0) & (block.tokens == self.begin) & np.repeat((block.train == 1) & (block.context == 1), block.size)
+            count1[self.begin] = int(starts.sum())
+        two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        code2 = (t[two - 1] << _BITS) | t[two]
+        code3 = (t[three - 2] << (_BITS + _BITS)) | (t[three - 1] << _BITS) | t[three]
+        self.pair = np.zeros(len(t), np.int64)
+        by = np.argsort(code2)
+        new = _runs(code2[by])
+        number = np.cumsum(new) - 1
+        self.pair[two[by]] = number
+        begins = np.flatnonzero(new)
+        sums = lambda at, begins: np.add.reduceat(learnt[at].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+        self.code = {2: code2[by][begins]}
+        self.count = {1: count1, 2: sums(two[by], begins)}
+        by = np.argsort(code3)
+        begins = np.flatnonzero(_runs(code3[by]))
+        self.code[3], self.count[3], self.at3 = code3[by][begins], sums(three[by], begins), three[by[begins]]
+
+        one = mix(words)
+        chain = mix(words[self.code[2] >> _BITS] * np.uint64(0x9E3779B97F4A7C15) + words[self.code[2] & _LOW])
+        three_ = mix(words[self.code[3] >> (_BITS + _BITS)] * np.uint64(0x9E3779B97F4A7C15) + words[(self.code[3] >> _BITS) & _LOW])
+        three_ = mix(three_ * np.uint64(0xC2B2AE3D27D4EB4F) + words[self.code[3] & _LOW])
+        self.keys = np.concatenate([(k & ~np.uint64(3)) | np.uint64(n) for n, k in ((1, one), (2, chain), (3, three_))])
+        if self.begin >= 0:
+            self.keys[self.begin] &= ~np.uint64(3)
+        self.order = np.argsort(self.keys)
+
+    def counts(self) -> np.ndarray:
+        return np.concatenate([self.count[n] for n in (1, 2, 3)])
+
+    def summed(self, sums: np.ndarray) -> dict[int, np.ndarray]:
+        """Counts by n, from sums in the order of the keys."""
+        back = np.empty(len(self.keys))
+        back[self.order] = sums
+        a, b = len(self.count[1]), len(self.count[1]) + len(self.count[2])
+        return {1: back[:a], 2: back[a:b], 3: back[b:]}
 
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update(words(text))
-                counts[END] += 1
-                if len(counts) >= FLUSH // 2:
-                    yield flush()
-        yield flush()
 
-    return texts.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+class Automaton:
+    """State 0 is the root, 1 + w that of word w, 1 + words + p that of pair p. Arcs of states lie one after another, sorted
+    by word; root arcs are found by the word itself. All weights are log10."""
+
+    def __init__(self, root: np.ndarray, known: np.ndarray, fail: np.ndarray, fail_weight: np.ndarray, state: np.ndarray, word: np.ndarray, weight: np.ndarray, target: np.ndarray) -> None:
+        self.root, self.fail, self.fail_weight = root, fail, fail_weight
+        self.root_target = np.where(known, np.arange(1, len(known) + 1), 0)
+        self.word, self.weight, self.target = word, weight, target
+        self.begins = np.searchsorted(state, np.arange(len(fail) + 1))
+        self.key = state * np.int64(1 << 21) + word
+
+    @classmethod
+    def of(cls, block: Block, grams: Grams, sums: np.ndarray, tokens: int, words: int) -> Automaton:
+        """The part of the model that a block's texts can reach, from the sums over all blocks."""
+        c, v = grams.summed(sums), len(block.words)
+        p1 = (c[1] + ADD) / (tokens + ADD * (words + 1))
+        if grams.begin >= 0:
+            p1[grams.begin] = ADD / (tokens + ADD * (words + 1))
+        known = c[1] > 0
+        u, w = (grams.code[2] >> _BITS).astype(np.int64), (grams.code[2] & _LOW).astype(np.int64)
+        p2 = (c[2] + PRIOR * p1[w]) / (c[1][u] + PRIOR)
+        before, now = grams.pair[grams.at3 - 1], grams.pair[grams.at3]
+        p3 = (c[3] + PRIOR * p2[now]) / (c[2][before] + PRIOR)
+        fail = np.concatenate([[0], np.zeros(v, np.int64), np.where(known[w], 1 + w, 0)])
+        weight = np.concatenate([[0.0], np.log10(PRIOR / (c[1] + PRIOR)), np.log10(PRIOR / (c[2] + PRIOR))])
+        pair = np.where(c[2] > 0, 1 + v + np.arange(len(w)), np.where(known[w], 1 + w, 0))  # where a pair leads to
+        has2, has3 = c[2] > 0, c[3] > 0
+        state = np.concatenate([1 + u[has2], 1 + v + before[has3]])  # rising, as codes are
+        word = np.concatenate([w[has2], (grams.code[3] & _LOW).astype(np.int64)[has3]])
+        arcs = np.concatenate([np.log10(p2[has2]), np.log10(p3[has3])])
+        return cls(np.log10(p1), known, fail, weight, state, word, arcs, np.concatenate([pair[has2], pair[now[has3]]]))
+
+    def arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Numbers of the arcs of states by words; -1 where there is none."""
+        at = self.begins[state]
+        n = self.begins[state + 1] - at
+        found = np.full(len(state), -1)
+        maybe = np.flatnonzero(n)
+        hit = maybe[self.word[at[maybe]] == word[maybe]]
+        found[hit] = at[hit]
+        rest = np.flatnonzero((found < 0) & (n > 1))
+        if len(rest):
+            key = state[rest] * np.int64(1 << 21) + word[rest]
+            place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[place] == key
+            found[rest[hit]] = place[hit]
+        return found
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Reads a word from each state: the states that follow, and the weights of the arcs and failure arcs taken."""
+        state, weight, following = state.copy(), np.zeros(len(state)), np.empty(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            s, w = state[left], word[left]
+            root = s == 0
+            done = left[root]
+            weight[done] += self.root[w[root]]
+            following[done] = self.root_target[w[root]]
+            left, s, w = left[~root], s[~root], w[~root]
+            arc = self.arc(s, w)
+            on = arc >= 0
+            weight[left[on]] += self.weight[arc[on]]
+            following[left[on]] = self.target[arc[on]]
+            left, s = left[~on], s[~on]
+            weight[left] += self.fail_weight[s]
+            state[left] = self.fail[s]
+        return following, weight
+
+    def walk(self, block: Block, first: np.ndarray) -> np.ndarray:
+        """log10 probability of each part: all parts are read side by side, a token each at a time, each in its own state."""
+        longest = np.argsort(-block.size, kind="stable")
+        size, context, start = block.size[longest], block.context[longest], first[longest]
+        state, score = np.zeros(len(size), np.int64), np.zeros(len(size))
+        tokens = block.tokens.astype(np.int64)
+        for i in range(int(size[0])):
+            m = int(np.searchsorted(-size, -i))  # parts of more than i tokens
+            word = tokens[start[:m] + i]
+            if i == 0:  # a part begins in the state of its first token
+                state[:m] = self.root_target[word]
+                continue
+            state[:m], weight = self.read(state[:m], word)
+            score[:m] += np.where(i >= context[:m], weight, 0.0)
+        out = np.empty(len(size))
+        out[longest] = score
+        return out
+
+
+def score_block(block: Block, sums: np.ndarray, tokens: int, words: int) -> list[np.ndarray]:
+    """row, doc_id, has_id, n, known, base, score of each text of which the block has parts."""
+    grams = Grams(block)
+    model = Automaton.of(block, grams, sums, tokens, words)
+    score = model.walk(block, grams.first)
+    part = np.repeat(np.arange(len(block.size)), block.size)[grams.scored]
+    read = block.tokens[grams.scored]
+    n = np.bincount(part, minlength=len(block.size))
+    known = np.bincount(part, weights=model.root_target[read] > 0, minlength=len(block.size))
+    base = np.bincount(part, weights=model.root[read], minlength=len(block.size))
+    rows, at, of = np.unique(block.row, return_index=True, return_inverse=True)
+    add = lambda x: np.bincount(of, weights=x, minlength=len(rows))
+    return [rows, block.doc_id[at], block.has_id[at], add(n), add(known), add(base), add(score)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int, part: int) -> Iterator[tuple[int, Block]]:
+    """Blocks of the texts of a task and their numbers; columns doc_id, text, train."""
+    task = TaskContext.get().partitionId()
+    parts, size, number, row = [], 0, 0, 0
+    for batch in batches:
+        ids, train = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for doc_id, learnt, h in zip(ids, train, word_hashes(as_bytes(batch.column(1))), strict=True):
+            s = np.concatenate([[BEGIN], h, [END]])
+            for a in range(1, len(s), part):
+                piece = s[max(0, a - 2) : a + part]
+                parts.append(((task << 33) + row, doc_id, bool(learnt), a - max(0, a - 2), piece))
+                size += len(piece)
+                if size >= block_tokens:
+                    yield (task << 24) + number, Block.of(parts)
+                    parts, size, number = [], 0, number + 1
+            row += 1
+    if parts:
+        yield (task << 24) + number, Block.of(parts)
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [()] * 6, _COLUMNS, strict=True)], schema=_MESSAGE)
+
+
+def ask(texts: DataFrame, buckets: int, block_tokens: int = BLOCK_TOKENS, part: int = PART) -> DataFrame:
+    """Messages of all blocks: its texts, and for each bucket its n-grams and their counts. buckets is a power of two."""
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in _blocks(batches, block_tokens, part):
+            yield _messages([(-1 - number, TEXTS, number, 0, 0, block.packed())])
+            grams = Grams(block)
+            keys, counts = grams.keys[grams.order], grams.counts()[grams.order].astype(np.uint32)
+            ends = np.searchsorted(keys >> shift if buckets > 1 else np.zeros(len(keys), np.uint64), np.arange(buckets + 1, dtype=np.uint64))
+            for i in range(0, buckets, 64):
+                rows = []
+                for to in range(i, min(buckets, i + 64)):
+                    if len(k := keys[ends[to] : ends[to + 1]]):
+                        rows.append((to, GRAMS, number, 0, 0, pack(np.diff(k, prepend=np.uint64(0)), counts[ends[to] : ends[to + 1]])))
+                yield _messages(rows)
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One 64-bit key a pair of word hashes; two of n pairs share one with probability n*n/2**65."""
-    x = second.view(np.uint64)
-    return first.view(np.uint64) ^ ((x << np.uint64(23)) | (x >> np.uint64(41)))
+    return texts.mapInArrow(run, MESSAGE)
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """first, second (word hashes), c: counts of all neighbours over all texts, the beginning and end of each among them."""
-    schema = pa.schema([("first", pa.int64()), ("second", pa.int64()), ("c", pa.int64())])
+def answer(messages: DataFrame) -> DataFrame:
+    """For each message of n-grams their sums over all blocks, and each bucket's training totals; texts go on as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept, size = WordHashes(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            h, at = np.unique(np.concatenate([*kept, np.zeros(0, np.int64)]), return_inverse=True)
-            kept.clear()
-            # a text begins with BEGIN and ends with END: no pair reaches over from one text to the next
-            pair = (at[:-1] << 32) | at[1:]
-            pair, c = np.unique(pair[h[at[:-1]] != _END] if len(h) else pair, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[pair >> 32]), pa.array(h[pair & 0xFFFFFFFF]), pa.array(c, pa.int64())], schema=schema)
+        current, asked = None, []
+
+        def close() -> pa.RecordBatch:
+            blocks, keys, counts = zip(*asked, strict=True)
+            k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+            by = np.argsort(k)
+            new = _runs(k[by])
+            begins = np.flatnonzero(new)
+            sums = np.add.reduceat(c[by], begins)
+            back = np.empty(len(k), np.int64)
+            back[by] = sums[np.cumsum(new) - 1]
+            one = (k[by][begins] & np.uint64(3)) == 1
+            rows = [(current, TOTALS, -1, int(sums[one].sum()), int((sums[one] > 0).sum()), None)]
+            for block, some in zip(blocks, np.split(back, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+                rows.append((current, GRAMS, block, 0, 0, pack(some.astype(np.uint32 if some.max() < 1 << 32 else np.uint64))))
+            asked.clear()
+            return _messages(rows)
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                kept.append(np.concatenate([[_BEGIN], _signed(hashes.of(words(text))), [_END]]))
-                size += len(kept[-1])
-                if size >= 4 * FLUSH:
-                    yield flush()
-                    size = 0
-        if kept:
-            yield flush()
+            for i in range(batch.num_rows):
+                to, kind, block, data = (batch.column(j)[i].as_py() for j in (0, 1, 2, 5))
+                if kind == TEXTS:
+                    yield batch.slice(i, 1)
+                    continue
+                if asked and to != current:
+                    yield close()
+                current = to
+                differences, counts = unpack(data)
+                asked.append((block, np.cumsum(differences, dtype=np.uint64), counts))
+        if asked:
+            yield close()
 
-    return texts.select("text").mapInArrow(run, "first long, second long, c long").groupBy("first", "second").agg(F.sum("c").alias("c"))
+    return messages.repartition("to").sortWithinPartitions("to").mapInArrow(run, MESSAGE)
 
 
-@dataclass
-class Automaton:
-    """What is broadcast. frequent: sorted hashes of words, BEGIN among them; root: log10 of their probabilities; fail: of
-    their failure arcs' weights; count: how often each is left. arcs: sorted keys of pairs, with what each adds to its failure
-    arc and root; none: the root's weight of a word that training lacks; sketch: of the keys that the table of others has."""
-
-    frequent: np.ndarray
-    root: np.ndarray
-    fail: np.ndarray
-    count: np.ndarray
-    none: float
-    arcs: np.ndarray
-    more: np.ndarray
-    sketch: np.ndarray | None = None
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of hashes among the frequent words, and which are such."""
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return at, self.frequent[at] == h
-
-    def run(self, h: np.ndarray) -> tuple[float, float, int, np.ndarray]:
-        """(score, base score, known words and end) of a text's words as far as broadcast, and the keys to look up for the rest.
-
-        Each token leaves the state that the one before it led to, from left to right: on an arc, or by the failure arc and
-        the root. Words and pairs outside count as unknown until the join adds what they are more.
-        """
-        seq = np.concatenate([[_BEGIN], h, [_END]])
-        at, known = self.find(seq)
-        rare = seq[~known]
-        base = float(self.root[at[1:]][known[1:]].sum()) + self.none * len(rare)
-        score = base + float(self.fail[at[:-1]][known[:-1]].sum())
-        key = pair_keys(seq[:-1], seq[1:])
-        if len(self.arcs):
-            place = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            hit = self.arcs[place] == key
-            score += float(self.more[place[hit]].sum())
-            key = key[~hit]
-        key = np.concatenate([key, rare.view(np.uint64)])
-        if self.sketch is not None:
-            key = key[_in(self.sketch, key)]
-        return score, base, int(known[1:].sum()), key.view(np.int64)
-
-
-def sketch(keys: DataFrame) -> np.ndarray | None:
-    """A bitmap that has the bit of each of these keys, and of few others; None if there are too many for FILTER_BITS."""
-    n = keys.count()
-    if n > 1 << (FILTER_BITS - 2):
-        return None
-    bits = min(FILTER_BITS, max(16, (n * 16).bit_length()))
-    place = F.shiftrightunsigned("key", 64 - bits)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")
-    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("word")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[found["at"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
-    return bitmap
-
-
-def _in(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
-    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def arc_more(c: Column, history: Column, left: Column, p: Column) -> Column:
-    """log10 of an arc's weight, less those of the failure arc and the root that it stands for."""
-    return F.log10((c - DISCOUNT) / history + left * p) - F.log10(left) - F.log10(p)
-
-
-def other_arcs(pairs: DataFrame, states: DataFrame, model: Automaton, z: float) -> DataFrame:
-    """key, more of pairs (first, second, c). Frequent words' counts come from the broadcast model, others' by joins without hot keys."""
-    shared = pairs.sparkSession.sparkContext.broadcast((model.frequent, model.count, 10.0**model.fail, 10.0**model.root))
-    names = ["key", "c", "at1", "at2", "history", "left", "p"]
-    types = [pa.int64()] * 4 + [pa.float64()] * 3
+def read_texts(answers: DataFrame, tokens: int, words: int) -> DataFrame:
+    """SCORES of all texts, from blocks and the sums that they got: a row for each text of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, count, left, root = shared.value
+        block, sums = None, []
 
-        def find(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-            return at, frequent[at] == h
+        def close() -> pa.RecordBatch:
+            rows, doc_id, has_id, n, known, base, score = score_block(block, np.concatenate(sums), tokens, words)
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(doc_id, mask=has_id == 0), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], schema=_SCORES)
 
         for batch in batches:
-            first, second, c = (batch.column(i).to_numpy() for i in range(3))
-            key = pair_keys(first, second).view(np.int64)
-            (a, known1), (b, known2) = find(first), find(second)
-            # what is known is joined by the pair's own key, which spreads it and finds nothing that counts
-            columns = [key, c, np.where(known1, key, first), np.where(known2, key, second)]
-            made = [pa.array(x) for x in columns]
-            made += [pa.array(x[at].astype(float), mask=~known) for x, at, known in ((count, a, known1), (left, a, known1), (root, b, known2))]
-            yield pa.RecordBatch.from_arrays(made, schema=pa.schema(list(zip(names, types, strict=True))))
-
-    found = pairs.select("first", "second", "c").mapInArrow(run, "key long, c long, at1 long, at2 long, history double, left double, p double")
-    one = states.select(F.col("word").alias("at1"), F.col("c").alias("c1"), F.col("left").alias("left1"))
-    two = states.select(F.col("word").alias("at2"), ((F.col("c") + ADD) / F.lit(z)).alias("p2"))
-    both = F.col("history").isNotNull() & F.col("p").isNotNull()
-    rest = found.where(~both).join(one, "at1", "left").join(two, "at2", "left")
-    rest = rest.select("key", arc_more(F.col("c"), F.coalesce("history", "c1"), F.coalesce("left", "left1"), F.coalesce("p", "p2")).alias("more"))
-    return found.where(both).select("key", arc_more(F.col("c"), F.col("history"), F.col("left"), F.col("p")).alias("more")).unionAll(rest)
-
-
-def score_documents(docs: DataFrame, train: Column, frequent_share: float = 0.0, broadcast_share: float = FREQUENT) -> DataFrame:
+            for i in range(batch.num_rows):
+                kind, data = batch.column(1)[i].as_py(), batch.column(5)[i].as_py()
+                if kind == TEXTS:
+                    if block is not None:
+                        yield close()
+                    block = Block(*unpack(data))
+                else:
+                    sums += unpack(data)
+        if block is not None:
+            yield close()
+
+    return answers.where(F.col("kind") != TOTALS).repartition("block").sortWithinPartitions("block", "kind", "to").mapInArrow(run, SCORES)
+
+
+def score_documents(docs: DataFrame, train: Column, bucket_bytes: int = BUCKET_BYTES, block_tokens: int = BLOCK_TOKENS, part: int = PART) -> DataFrame:
     """Scores docs (doc_id, text) by a model of those where `train` holds.
 
     Returns doc_id, n_tokens (words and one end), n_known (tokens seen in training), train_tokens, base_score, score: a row
-    per row of docs. A null or empty text is its end alone. Repeated rows count and are scored each; extra columns are
-    ignored. Without training texts all counts are 0, and base_score and score are 0.
+    per row of docs. A null or empty text is its end alone. Repeated rows count and are scored each, as are rows without
+    doc_id; a null `train` is false; extra columns are ignored. Without training texts all counts are 0, and base_score and
+    score are 0. No documents give no rows. A text of any length is read in parts, each begun with the two tokens before it.
 
-    frequent_share prunes the model on demand: pairs below that share of the training tokens have no arc. By default every
-    pair that occurs LEAST_PAIR times has one. broadcast_share changes no result: it tells what is broadcast, at most
-    1 / broadcast_share words and pairs.
+    bucket_bytes, block_tokens and part change no result, only how the work is divided.
 
-    Three passes over the texts count words, count pairs, and score. Counts are summed within tasks before the shuffle. Keys
-    that the table of rare weights lacks aren't looked up, as far as a bitmap of bounded size can tell.
+    Texts are read twice, once for their size. Blocks and messages then pass through two exchanges.
     """
-    spark = docs.sparkSession
-    texts = docs.where(train).select("text")
-    counts = materialize(word_counts(texts), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ids = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    if not total:
-        n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long") + 1
-        zero = F.lit(0).cast("long")
-        return ids.select("doc_id", n.alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    z = total + ADD * (distinct + 1)
-    pairs = materialize(pair_counts(texts).where(F.col("c") >= max(LEAST_PAIR, frequent_share * total)), "pairs")
-    mass = pairs.groupBy(F.col("first").alias("word")).agg(F.sum(F.col("c") - DISCOUNT).alias("mass"))
-    begin = counts.where(F.col("word") == _END).select(F.lit(_BEGIN).alias("word"), "c")  # a text begins as often as one ends
-    states = counts.unionAll(begin).join(mass, "word", "left")
-    states = materialize(states.select("word", "c", (1.0 - F.coalesce("mass", F.lit(0.0)) / F.col("c")).alias("left")), "states")
-    often = (F.col("c") >= broadcast_share * total) | F.col("word").isin(_BEGIN, _END)
-    frequent = states.where(often).toArrow().sort_by("word")
-    c, left = frequent["c"].to_numpy(), frequent["left"].to_numpy()
-    none = float(np.log10(ADD / z))
-    no_arcs = np.zeros(0, np.uint64), np.zeros(0)
-    model = Automaton(frequent["word"].to_numpy(), np.log10((c + ADD) / z), np.log10(left), c, none, *no_arcs)
-
-    arcs = F.col("c") >= broadcast_share * total
-    shared_arcs = pairs.where(arcs).toArrow()
-    if len(shared_arcs):
-        first, second, c = (shared_arcs[x].to_numpy() for x in ("first", "second", "c"))
-        (a, _), (b, _) = model.find(first), model.find(second)
-        part = (c - DISCOUNT) / model.count[a]
-        more = np.log10(part + 10.0 ** (model.fail[a] + model.root[b])) - model.fail[a] - model.root[b]
-        key = pair_keys(first, second)
-        by_key = np.argsort(key)
-        model.arcs, model.more = key[by_key], more[by_key]
-    base = F.log10((F.col("c") + ADD) / ADD)
-    rare_words = states.where(~often).select(F.col("word").alias("key"), base.alias("base"), (base + F.log10("left")).alias("more"), F.lit(1).alias("seen"))
-    rare_arcs = other_arcs(pairs.where(~arcs), states, model, z).select("key", F.lit(0.0).alias("base"), "more", F.lit(0).alias("seen"))
-    weights = materialize(rare_words.unionAll(rare_arcs), "weights")
-    model.sketch = sketch(weights.select("key"))
-    shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, hashes = shared.value, WordHashes()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for i in range(0, len(ids), 500):
-                rows, rare, times = [], [], []
-                for doc_id, text in zip(ids[i : i + 500], texts[i : i + 500], strict=True):
-                    h = _signed(hashes.of(words(text)))
-                    score, base, known, keys = automaton.run(h)
-                    keys, c = np.unique(keys, return_counts=True)
-                    rows.append((doc_id, len(h) + 1, known, base, score))
-                    rare.append(keys)
-                    times.append(c)
-                ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), t)) for x, t in ((rare, pa.int64()), (times, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types[:5], strict=True)), *lists], schema=schema)
-
-    scored = ids.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, keys array<long>, times array<int>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("n"))
-    sums = [F.sum(F.col("n") * F.col(x)).alias(f"{x}_more") for x in ("base", "more", "seen")]
-    out = scored.drop("keys", "times").join(rare.join(weights, "key").groupBy("row").agg(*sums), "row", "left")
-    plus = lambda x, y: F.col(x) + F.coalesce(y, F.lit(0))
-    return out.select("doc_id", "n_tokens", plus("n_known", "seen_more").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base", "base_more").alias("base_score"), plus("score", "more_more").alias("score"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = 1 << max(0, (size // bucket_bytes).bit_length())
+    answers = materialize(answer(ask(texts, buckets, block_tokens, part)), "answers")
+    tokens, words = answers.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    parts = read_texts(answers, int(tokens), int(words))
+    sums = [F.sum(a).alias(b) for a, b in (("n", "n_tokens"), ("known", "n_known"), ("base", "base_score"), ("score", "score"))]
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *sums)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -21,57 +21,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm.store import by_keys, materialize
-from tabspark.llm.text import WordHashes, as_bytes, mix, set_hash, shingle_set, words
+from tabspark.llm.text import as_bytes, mix, set_hash, shingle_sets
 
 #: No text has so many shingles.
 LARGEST = 1 << 40
-#: Up to this size two thirds of a first-level partition make a signature, above it a half: small sets share parts by chance.
-SMALL = 256
-#: From this size on bands are a fifth wider.
-WIDE = 40
-#: Below this threshold the first level alone has so many partitions that a second one would leave its parts empty.
+#: From this threshold on bands span an octave and a signature takes two of three parts of a first-level partition; below it
+#: sets of one band differ more, so bands are narrower and a signature takes one of two parts.
 DENSE = 85
-#: Bits of the bitmap that tells which signatures are shared (16 MB).
-FILTER_BITS = 27
+#: Signatures that a worker holds before it gives them on.
+FLUSH = 200_000
 #: In a bucket of more sets, those not yet connected are joined by what sets them apart from its center.
 CROWD = 32
+_SPREAD, _HALF = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
+#: Odd factors of the parts in a signature.
+_TIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class Band:
     low: int
     high: int
-    differ: int  # most shingles by which two similar sets of sizes up to `high` differ
     n1: int = 0
     n2: int = 0
     keep: int = 0  # n2 - k2
-    spare: int = 0  # first-level partitions beyond those that the guarantee needs
+
+
+def most_apart(a: int, b: int, percent: int) -> int:
+    """Most shingles by which similar sets of these sizes differ: |A ^ B| <= (a + b)(1 - t)/(1 + t)."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def _good(size: int, n1: int, n2: int, keep: int) -> tuple[float, float]:
+    """Mean and deviation of the partitions of a set of this size that leave none of their subsets empty, by chance."""
+    gone = math.exp(-size / (n1 * n2))
+    full = (1 - gone) ** n2 if keep == 1 else 1 - math.comb(n2, keep) * gone**keep
+    full = min(1.0, max(0.0, full))
+    return n1 * full, math.sqrt(n1 * full * (1 - full))
 
 
 @cache
 def bands(percent: int) -> tuple[Band, ...]:
     """All bands for |A & B| * 100 >= percent * |A | B|. A set's similar ones are in its own band or one beside it.
 
-    Bands of large sets are wider than that needs: fewer sets then lie where two bands' signatures are due.
+    A band has first-level partitions enough for the largest sets in it: of d // 2 + 1 partitions one holds at most one of d
+    differences. Somewhat more make up for partitions that a set leaves empty by chance.
     """
     out, low = [], 1
     while low < LARGEST:
-        high = low * 100 // percent
-        if high >= WIDE and percent >= DENSE:
-            high = high * 6 // 5
-        differ = 2 * high * (100 - percent) // (100 + percent)
-        if differ == 0:
-            out.append(Band(low, high, 0))
-        elif differ <= 2:
-            out.append(Band(low, high, differ, 1, differ + 2, 2, 0))
+        if not most_apart(low, low * 100 // percent, percent):
+            out.append(Band(low, low))  # only equal sets are similar
+            low += 1
+            continue
+        high = max(low * 100 // percent, 2 * low - 1 if percent >= DENSE else low * 3 // 2)
+        differ = most_apart(high, high, percent)
+        if differ <= 2:
+            out.append(Band(low, high, 1, differ + 2, 2))
         else:
-            n2 = (3 if high <= SMALL else 2) if percent >= DENSE else 1
-            base = differ // 2 + 1 if n2 > 1 else differ + 1  # so many have one with at most k2 differences
-            keep, smallest, spare = max(1, n2 - 1), max(1, low * percent // 100), 0
-            for _ in range(8):  # partitions with a subset that a set leaves empty by chance: mean and four deviations
-                empty = (base + spare) * n2 * math.exp(-smallest * keep / ((base + spare) * n2))
-                spare = min(base, math.ceil(empty + 4 * math.sqrt(empty)))
-            out.append(Band(low, high, differ, base + spare, n2, keep, spare))
+            n2 = 3 if percent >= DENSE else 2
+            n1 = base = differ // 2 + 1
+            while n1 < 2 * base:
+                sizes = (high, max(1, high * percent // 100))
+                if all(m - 4 * dev >= most_apart(x, min(high, x * 100 // percent), percent) // 2 + 1 for x in sizes for m, dev in [_good(x, n1, n2, n2 - 1)]):
+                    break
+                n1 += max(1, n1 // 50)
+            out.append(Band(low, high, n1, n2, n2 - 1))
         low = high + 1
     return tuple(out)
 
@@ -94,36 +107,42 @@ def _sums(part: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 def signatures(f: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a sorted set of 64-bit shingles, for its own band and the next one that a similar set may be in.
 
-    An empty subset says nothing, and would put unlike sets together. With `spare` more partitions than needed, spare + 1 of
-    them agree; a set with at most `spare` partitions that have an empty subset can leave these out, and any other gives all.
+    A set that differs from each similar one in at most d shingles gives the subsets of its first d // 2 + 1 good partitions,
+    those none of whose subsets it leaves empty, and of all that lie between. Of two similar sets take the one whose prefix
+    ends first: one of its good partitions holds at most one difference, so one of its subsets is the same in both, holds
+    something, and lies in the other's prefix too. A set with too few good partitions gives all subsets, the empty ones as
+    well: if both are such, an empty one may be all that they share.
     """
     size, found = len(f), []
     if not size:
         return f
     own = bisect_right(_lows(percent), size) - 1
+    largest = size * 100 // percent
     for i in (own, own + 1):
         band = bands(percent)[i]
-        if not band.differ or (i > own and size * 100 < percent * band.low):
+        if i > own and largest < band.low:
             continue
-        with np.errstate(over="ignore"):
-            seed = mix(np.array([0x9E3779B97F4A7C15 + i], np.uint64))[0]
-            g = mix(f ^ seed)
-            part = (g % np.uint64(band.n1 * band.n2)).astype(np.int64)
-            count = np.bincount(part, minlength=band.n1 * band.n2).reshape(band.n1, band.n2)
-            held = _sums(part, mix(g + seed), band.n1 * band.n2).reshape(band.n1, band.n2)
-            place = mix(np.arange(1, band.n1 + 1, dtype=np.uint64) + seed)
-            sig, none = [], []
-            for j, chosen in enumerate(combinations(range(band.n2), band.keep)):
-                x = place + np.uint64(j + 1)
-                for c in chosen:
-                    x = mix(x) + held[:, c]
-                sig.append(mix(x))
-                none.append(count[:, list(chosen)].sum(1) == 0)
-        sig, none = np.stack(sig, 1), np.stack(none, 1)
-        if none.any(1).sum() <= band.spare:
-            found.append(sig[~none])
-        else:
-            found.append(sig.ravel())
+        d = most_apart(size, min(band.high, largest), percent)
+        if not band.n1 or not d:
+            continue
+        seed = mix(np.array([0x9E3779B97F4A7C15 + i], np.uint64))
+        parts, subsets = band.n1 * band.n2, [list(x) for x in combinations(range(band.n2), band.keep)]
+        part = (((f ^ seed) * _SPREAD >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int64)
+        empty = np.bincount(part, minlength=parts).reshape(band.n1, band.n2) == 0
+        none = np.stack([empty[:, x].all(1) for x in subsets], 1)
+        good = np.cumsum(~none.any(1))
+        needed = 1 if band.n1 == 1 else d // 2 + 1
+        enough = good[-1] >= needed
+        n = int(np.searchsorted(good, needed)) + 1 if enough else band.n1
+        held = _sums(part, f, parts).reshape(band.n1, band.n2)[:n]
+        sig = np.empty((n, len(subsets)), np.uint64)
+        place = np.arange(1, n + 1, dtype=np.uint64) * _SPREAD + seed
+        for j, chosen in enumerate(subsets):
+            sig[:, j] = place + np.uint64(j)
+            for c in chosen:
+                sig[:, j] += held[:, c] * np.uint64(_TIMES[c])
+        sig = mix(sig)
+        found.append(sig[~none[:n]] if enough else sig.ravel())
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -131,72 +150,40 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shingle_sizes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class_id (a hash of the set; null without shingles); a row per row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(hashes.of(words(t)), k) for t in as_bytes(batch.column(1))]
-            ids = [set_hash(f) if len(f) else None for f in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in sets], pa.int64()), pa.array(ids, pa.int64())], schema=schema)
+def signed_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class_id (a hash of the set; null without shingles), sigs; a row per row of docs.
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long")
-
-
-def sketch(sigs: DataFrame) -> np.ndarray | None:
-    """A bitmap that has the bit of each of these signatures, and of few others; None if there are too many of them.
-
-    Its size is bounded by FILTER_BITS. Executors put it together word by word; the driver gets the words.
+    sigs are the set's signatures, null where a row before it in the task has the same set, or where doc_id is null.
     """
-    n = sigs.count()
-    if n > 1 << (FILTER_BITS - 3):
-        return None
-    bits = min(FILTER_BITS, max(16, (n * 32).bit_length()))
-    place = F.shiftrightunsigned("sig", 64 - bits)
-    words_ = sigs.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(sig, {64 - bits}) & 63 as int))")).alias("word")).toPandas()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words_["at"].to_numpy(np.int64)] = words_["word"].to_numpy(np.int64).view(np.uint64)
-    return bitmap
-
-
-def _in(bitmap: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    at = sig >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
-    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows, size = set(), [], 0
 
-def class_signatures(docs: DataFrame, k: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
-    """class_id, n_shingles, sig: a row for each signature; equal sets of one task give theirs once.
-
-    only: a sketch of the signatures that count; nearly all others are left out.
-    """
-    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
-    schema = pa.schema([("class_id", pa.int64()), ("n_shingles", pa.int32()), ("sig", pa.int64())])
+        def flush() -> pa.RecordBatch:
+            ids, sizes, classes, sigs = zip(*rows, strict=True) if rows else ([],) * 4
+            ends = np.cumsum([0, *(0 if x is None else len(x) for x in sigs)])
+            offsets = pa.array(ends, pa.int32(), mask=np.array([x is None for x in sigs] + [False]))
+            values = np.concatenate([*(x for x in sigs if x is not None), np.zeros(0, np.uint64)])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(_signed(values)))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
         for batch in batches:
-            ids, sizes, found, n = [], [], [], 0
-            for t in as_bytes(batch.column(0)):
-                f = shingle_set(hashes.of(words(t)), k)
-                if not len(f) or (c := set_hash(f)) in seen:
-                    continue
-                seen.add(c)
-                sig = signatures(f, percent)
-                if shared is not None:
-                    sig = sig[_in(shared.value, sig)]
-                ids.append(np.full(len(sig), c))
-                sizes.append(np.full(len(sig), len(f), np.int32))
-                found.append(_signed(sig))
-                n += len(sig)
-                if n >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, found)], schema=schema)
-                    ids, sizes, found, n = [], [], [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, found)], schema=schema)
-
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "class_id long, n_shingles int, sig long")
+            for doc_id, f in zip(batch.column(0).to_pylist(), shingle_sets(as_bytes(batch.column(1)), k), strict=True):
+                c = set_hash(f) if len(f) else None
+                sigs = None
+                if c is not None and doc_id is not None and c not in seen:
+                    seen.add(c)
+                    sigs = signatures(f, percent)
+                    size += len(sigs)
+                rows.append((doc_id, len(f), c, sigs))
+                if size >= FLUSH or len(rows) >= 10_000:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long, sigs array<long>")
 
 
 def class_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -204,11 +191,10 @@ def class_sets(docs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("class_id", pa.int64()), ("f", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for i in range(0, len(texts), 256):
-                sets = [shingle_set(hashes.of(words(t)), k) for t in texts[i : i + 256]]
+                sets = [*shingle_sets(texts[i : i + 256], k)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(f) for f in sets], pa.int64()), lists], schema=schema)
@@ -294,11 +280,13 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     has sets of several components, pairs of different ones are verified: in a small bucket each such pair, in a crowd those
     that share enough of what sets them apart from its center (see _crowd_pairs). So no link can be missed.
     """
-    base = materialize(shingle_sizes(docs, k), "sizes")
-    every = class_signatures(docs, k, percent).groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"))
-    shared = materialize(every.where("x < y").select("sig"), "shared")
-    # what nothing shares is left out before the second shuffle, if a bitmap of bounded size can tell
-    buckets = materialize(class_signatures(docs, k, percent, sketch(shared)).join(shared, "sig").distinct(), "buckets")
+    signed = materialize(signed_documents(docs, k, percent), "signed")
+    base = signed.drop("sigs")
+    every = signed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "class_id", F.col("n_shingles").cast("int").alias("n_shingles"))
+    # a signature that many sets share is one row a task before the first shuffle, and its rows can be split in the second
+    met = every.groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"))
+    shared = materialize(met.where("x < y").select("sig"), "shared")
+    buckets = materialize(every.join(shared, "sig").distinct(), "buckets")
 
     # the center of a bucket: the set that has the largest buckets on the whole
     width = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("width"))
@@ -330,7 +318,10 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     of = labelled.select("class_id", "label").distinct().join(fame, "class_id").groupBy("label").agg(F.max(F.struct("fame", "class_id")).alias("top"))
     of = of.select(F.col("label").alias("center_label"), F.col("top.class_id").alias("center"))
     own = labelled.select(F.col("class_id").alias("a"), F.col("label").alias("center_label")).distinct()
-    many = open_.where(F.col("sets") > CROWD).join(center.select("sig", "a"), "sig").join(own, "a").join(of, "center_label")
+    crowds = open_.where(F.col("sets") > CROWD)
+    heads = crowds.select("sig").distinct().join(center.select("sig", "a"), "sig").join(own, "a").join(of, "center_label")
+    heads = materialize(heads.select("sig", "center", "center_label"), "heads")  # a row for each crowd
+    many = crowds.join(heads, "sig")
     many = many.where("class_id <> center").select("center", "center_label", "class_id", "n_shingles", "label").distinct()
     many = materialize(many, "crowds")
     if not many.isEmpty():

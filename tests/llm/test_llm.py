@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm import chat, decontaminate, fingerprint, language, lm, mixing, ngram_join, tokens, toxicity, warc
 from tabspark.llm.store import new_path
-from tabspark.llm.text import WordHashes, shingle_set, words
+from tabspark.llm.text import shingle_sets, word_hashes, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string"
 
@@ -70,8 +70,6 @@ def test_partenum_loses_no_similar_pair(percent):
 @pytest.mark.parametrize("k, percent, crowd", [(3, 90, 32), (3, 90, 2), (5, 80, 3)])
 def test_join_agrees_with_all_pairs(spark, monkeypatch, k, percent, crowd):
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    if crowd == 2:
-        monkeypatch.setattr(ngram_join, "FILTER_BITS", 3)  # too small for any bitmap
     rng = random.Random(percent)
     texts = [prose(rng, rng.choice([1, 2, 3, 6, 12, 40, 150])) for _ in range(40)]
     for _ in range(120):
@@ -327,62 +325,83 @@ def test_chat_round_trip(spark):
 # 9: language model
 
 
-def test_scores_agree_with_a_plain_model(spark):
+class PlainModel:
+    """Counts of n-grams of up to three tokens in dictionaries, nothing pruned."""
+
+    def __init__(self, read):
+        self.c, self.history = Counter(), Counter()
+        for r in read:
+            s = ["<begin>", *r]
+            self.c.update((w,) for w in r)
+            for n in (2, 3):
+                self.c.update(tuple(s[i - n + 1 : i + 1]) for i in range(n - 1, len(s)))
+            self.history["<begin>",] += 1
+        self.history.update({k: x for k, x in self.c.items() if len(k) < 3})
+        self.n, self.v = sum(map(len, read)), sum(len(k) == 1 for k in self.c)
+
+    def p(self, history, w):
+        if not history:
+            return (self.c[w,] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        return (self.c[*history, w] + lm.PRIOR * self.p(history[1:], w)) / (self.history[history] + lm.PRIOR)
+
+    def score(self, r):
+        s = ["<begin>", *r]
+        return sum(math.log10(self.p(tuple(s[max(0, i - 2) : i]), s[i])) for i in range(1, len(s)))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500, "block_tokens": 300, "part": 7}, {"bucket_bytes": 1 << 40, "block_tokens": 1, "part": 1}])
+def test_scores_agree_with_a_plain_model(spark, sizes):
     rng = random.Random(9)
-    texts = [prose(rng, rng.choice([1, 20, 80])) for _ in range(200)] + [None, "", "new words only", prose(rng, 30).upper()]
+    texts = [prose(rng, rng.choice([1, 20, 80]), 60) for _ in range(100)] + [None, "", "new words only", prose(rng, 30).upper(), "a b", "a b", prose(rng, 3000, 40)]
     df = docs(spark, texts)
-    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
-    share = 0.002
-    rows = lm.score_documents(df, ~lm.held_out(F.col("doc_id"), 10), share).orderBy("doc_id").collect()
-    read = [[*words((t or "").encode()), lm.END] for t in texts]
-    c = Counter(w for r, h in zip(read, held, strict=True) if not h for w in r)
-    n, v = sum(c.values()), len(c)
-    base = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
-    often = {w for w in c if c[w] >= share * n} | {lm.END}
-    pairs = Counter(p for r, h in zip(read, held, strict=True) if not h for p in zip([lm.BEGIN, *r], r, strict=False) if p[0] in often | {lm.BEGIN} and p[1] in often)
-    arcs = {p: x for p, x in pairs.items() if x >= max(2, share * n)}
-    history = {**{w: c[w] for w in often}, lm.BEGIN: held.count(False)}
-    left = {h: 1 - sum((x - 0.75) / history[h] for p, x in arcs.items() if p[0] == h) for h in history}
-
-    def log(h, w):
-        if (h, w) in arcs:
-            return math.log10((arcs[h, w] - 0.75) / history[h] + left[h] * 10 ** base(w))
-        return base(w) + (math.log10(left[h]) if h in left else 0.0)
-
-    for r, t in zip(rows, read, strict=True):
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(map(base, t)), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(map(log, [lm.BEGIN, *t], t)), rel_tol=1e-9)
-    for h in history:  # each state's probabilities of all words, and of one never seen, sum to 1
-        total = sum(10 ** log(h, w) for w in c) + 10 ** log(h, b"never")
+    df = df.unionByName(df.where("doc_id = 3")).unionByName(df.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    train = ~lm.held_out(F.col("doc_id"), 10)
+    rows = lm.score_documents(df, train, **sizes).collect()
+    read = [[*words((t or "").encode()), "<end>"] for t in texts]
+    learnt = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
+    model = PlainModel([r for i, r in enumerate(read) if learnt(i)] + ([read[3]] if learnt(3) else []))
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted([*range(len(texts)), 3])
+    for r in rows:
+        t = read[4 if r.doc_id is None else r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(model.c[w,] > 0 for w in t), model.n)
+        assert math.isclose(r.base_score, sum(math.log10(model.p((), w)) for w in t), rel_tol=1e-9)
+        assert math.isclose(r.score, model.score(t), rel_tol=1e-9)
+    some = [k for k in model.history if k[-1] != "<end>"][::40]
+    for h in some:  # each state's probabilities of all words, and of one never seen, sum to 1
+        total = sum(model.p(h, k[0]) for k in model.c if len(k) == 1) + model.p(h, "never")
         assert math.isclose(total, 1.0, rel_tol=1e-6)
+
+
+def test_scores_without_lessons_or_documents(spark):
     assert lm.score_documents(docs(spark, []), ~lm.held_out(F.col("doc_id"), 10)).count() == 0
     alone = lm.score_documents(docs(spark, ["a b"]), F.lit(False)).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score, alone.score) == (3, 0, 0, 0.0, 0.0)
 
 
-def test_repeated_pairs_keep_their_arcs_at_every_size(spark):
-    texts = ["w " * 1_500_000, "w " * 1_500_000, "rare pair", "rare pair", "rare pair", "pair rare"]
-    df = docs(spark, texts)
-    found = {r.doc_id: r for r in lm.score_documents(df, F.col("doc_id") < 4).collect()}
-    total, log = 3_000_008, math.log10
-    z = total + 0.1 * 5  # the words w, rare, pair and the end, and one unseen
-    p = {"pair": (2 + 0.1) / z, "rare": (2 + 0.1) / z, "end": (4 + 0.1) / z}
-    left = {"begin": 1 - 2 * 1.25 / 4, "rare": 1 - 1.25 / 2, "pair": 1 - 1.25 / 2}
-    arc = lambda history, n, word: log(1.25 / n + left[history] * p[word])
-    assert math.isclose(found[4].base_score, sum(map(log, p.values())), rel_tol=1e-9)
-    assert math.isclose(found[4].score, arc("begin", 4, "rare") + arc("rare", 2, "pair") + arc("pair", 2, "end"), rel_tol=1e-9)
-
-
-def test_what_is_broadcast_changes_no_score(spark):
-    rng = random.Random(10)
-    df = docs(spark, [prose(rng, 60, 80) for _ in range(60)] + [None, "words never seen before"])
-    train = ~lm.held_out(F.col("doc_id"), 4)
-    runs = [lm.score_documents(df, train, broadcast_share=x).orderBy("doc_id").collect() for x in (0.0, 0.002, 1.0)]
-    for a, b, c in zip(*runs, strict=True):
-        assert a[:4] == b[:4] == c[:4]
-        assert np.allclose([b[4:], c[4:]], [a[4:]] * 2, rtol=1e-9)
-    assert any(r.score > r.base_score for r in runs[0])
+def test_what_occurs_once_keeps_its_arc_beside_millions(spark):
+    texts = ["w " * 1_500_000, "w " * 2_500_000, "rare pair", "pair rare", "rare pair"]
+    found = {r.doc_id: r for r in lm.score_documents(docs(spark, texts), F.col("doc_id") < 4).collect()}
+    model = PlainModel([["w", "<end>"], ["rare", "pair", "<end>"], ["pair", "rare", "<end>"]])
+    model.c["w",], model.c["<end>",], model.history["<begin>",], model.n = 4_000_000, 4, 4, 4_000_008
+    assert found[0].n_tokens == 1_500_001 and found[0].train_tokens == model.n
+    assert math.isclose(found[4].base_score, sum(math.log10(model.p((), w)) for w in ("rare", "pair", "<end>")), rel_tol=1e-9)
+    assert math.isclose(found[4].score, model.score(["rare", "pair", "<end>"]), rel_tol=1e-9)
+
+
+def test_automaton_follows_chains_of_failures():
+    read = [["a", "b", "c", "<end>"], ["a", "b", "d", "<end>"], ["b", "e", "<end>"]]
+    model = PlainModel(read)
+    number = {w: np.uint64(10 + i) for i, w in enumerate("abcdez")} | {"<end>": lm.END}
+    unknown = ["a", "b", "e", "a", "z", "b", "c", "<end>"]
+    parts = [(i, i, i < 3, 1, np.array([lm.BEGIN, *(number[w] for w in r)], np.uint64)) for i, r in enumerate([*read, unknown])]
+    block = lm.Block.of(parts)
+    grams = lm.Grams(block)
+    rows, _, _, n, known, _, score = lm.score_block(block, grams.counts()[grams.order], model.n, model.v)
+    assert [*rows] == [0, 1, 2, 3] and [*n] == [4, 4, 3, 8] and known[3] == 7
+    assert np.allclose(score, [model.score(r) for r in [*read, unknown]])
+    automaton = lm.Automaton.of(block, grams, grams.counts()[grams.order], model.n, model.v)
+    v = len(block.words)
+    assert (automaton.fail[1 + v :] > 0).any() and (automaton.fail[1 : 1 + v] == 0).all()  # pairs fail to words, words to the root
 
 
 # 10: fingerprints
