@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,10 +101,13 @@ class Block:
     @classmethod
     def of(cls, parts: list[tuple[int, int | None, bool, int, np.ndarray]]) -> Block:
         rows, ids, train, context, seqs = zip(*parts, strict=True)
-        words, tokens = np.unique(np.concatenate(seqs), return_inverse=True)
+        words, tokens = _numbered(np.concatenate(seqs))
+        often = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")  # small numbers for frequent words
+        number = np.empty(len(words), np.uint32)
+        number[often] = np.arange(len(words), dtype=np.uint32)
         return cls(
-            words,
-            tokens.astype(np.uint32),
+            words[often],
+            number[tokens],
             np.array([len(s) for s in seqs], np.int64),
             np.array(context, np.int8),
             np.array(train, np.int8),
@@ -115,13 +119,40 @@ class Block:
     def packed(self) -> bytes:
         return pack(self.words, self.tokens, self.size, self.context, self.train, self.row, self.doc_id, self.has_id)
 
+    def name(self, task: int, number: int) -> int:
+        """A hash of all that the block holds and of where it was found."""
+        h = xxhash.xxh3_64(struct.pack("<QQ", task, number))
+        for a in (self.words, self.tokens, self.size, self.context, self.train, self.row, self.doc_id, self.has_id):
+            h.update(np.ascontiguousarray(a).view(np.uint8))
+        return h.intdigest() - (1 << 63)
+
+
+def _order(x: np.ndarray, bits: int) -> np.ndarray:
+    """Places of values of so many bits in rising order, in half the time of an argsort where a place fits beside a value."""
+    if len(x) > 1 << (64 - bits):
+        return np.argsort(x, kind="stable")
+    free = np.uint64(64 - bits)
+    return (np.sort((x << free) | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << free) - np.uint64(1))).astype(np.int64)
+
+
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes and the number of each place's."""
+    by = _order(hashes >> np.uint64(21), 43)
+    x = hashes[by]
+    new = _runs(x)
+    if (x[1:][new[1:]] >> np.uint64(21) == x[:-1][new[1:]] >> np.uint64(21)).any():  # alike in all bits that were sorted
+        return np.unique(hashes, return_inverse=True)
+    out = np.empty(len(hashes), np.int64)
+    out[by] = np.cumsum(new) - 1
+    return x[new], out
+
 
 class Grams:
     """The distinct n-grams of a block, their training counts in it, and hashes by which all blocks know them.
 
-    code[n] numbers an n-gram of the block, count[n] is how often it ends in a token that is scored in training, and at3 a
-    place where each triple ends. pair: of each place but the first of a part, which pair ends there. keys, order: the hashes
-    of all, and their rising order; the two low bits are n, or 0 for the beginning of a text.
+    code2 has the two words of each pair, code3 the pair and the word of each triple, and at3 a place where it ends. count[n]
+    is how often an n-gram ends in a token that is scored in training. pair: of each place but the first of a part, which pair
+    ends there. keys, order: the hashes of all, and their rising order; the two low bits are n, or 0 for a text's beginning.
     """
 
     def __init__(self, block: Block) -> None:
@@ -133,35 +164,33 @@ class Grams:
         self.scored, self.first = scored, first
         words = block.words
         count1 = np.bincount(block.tokens[learnt], minlength=len(words))
-        begin = np.searchsorted(words, BEGIN)
-        self.begin = int(begin) if begin < len(words) and words[begin] == BEGIN else -1
+        begin = np.flatnonzero(words == BEGIN)
+        self.begin = int(begin[0]) if len(begin) else -1
         if self.begin >= 0:  # counted as often as a text that is learnt begins
             starts = (place == 0) & (block.tokens == self.begin) & np.repeat((block.train == 1) & (block.context == 1), block.size)
             count1[self.begin] = int(starts.sum())
         two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        code2 = (t[two - 1] << _BITS) | t[two]
-        code3 = (t[three - 2] << (_BITS + _BITS)) | (t[three - 1] << _BITS) | t[three]
+        sums = lambda at, begins: np.add.reduceat(learnt[at].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+        code = (t[two - 1] << _BITS) | t[two]
+        by = _order(code, 42)
+        new = _runs(code[by])
         self.pair = np.zeros(len(t), np.int64)
-        by = np.argsort(code2)
-        new = _runs(code2[by])
-        number = np.cumsum(new) - 1
-        self.pair[two[by]] = number
+        self.pair[two[by]] = np.cumsum(new) - 1
         begins = np.flatnonzero(new)
-        sums = lambda at, begins: np.add.reduceat(learnt[at].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
-        self.code = {2: code2[by][begins]}
-        self.count = {1: count1, 2: sums(two[by], begins)}
-        by = np.argsort(code3)
-        begins = np.flatnonzero(_runs(code3[by]))
-        self.code[3], self.count[3], self.at3 = code3[by][begins], sums(three[by], begins), three[by[begins]]
+        self.code2, count2 = code[by[begins]], sums(two[by], begins)
+        code = (self.pair[three - 1].astype(np.uint64) << _BITS) | t[three]  # the pair before, and the word
+        by = _order(code, 42)
+        begins = np.flatnonzero(_runs(code[by]))
+        self.code3, self.at3 = code[by[begins]], three[by[begins]]
+        self.count = {1: count1, 2: count2, 3: sums(three[by], begins)}
 
         one = mix(words)
-        chain = mix(words[self.code[2] >> _BITS] * np.uint64(0x9E3779B97F4A7C15) + words[self.code[2] & _LOW])
-        three_ = mix(words[self.code[3] >> (_BITS + _BITS)] * np.uint64(0x9E3779B97F4A7C15) + words[(self.code[3] >> _BITS) & _LOW])
-        three_ = mix(three_ * np.uint64(0xC2B2AE3D27D4EB4F) + words[self.code[3] & _LOW])
-        self.keys = np.concatenate([(k & ~np.uint64(3)) | np.uint64(n) for n, k in ((1, one), (2, chain), (3, three_))])
+        two_ = mix(words[self.code2 >> _BITS] * np.uint64(0x9E3779B97F4A7C15) + words[self.code2 & _LOW])
+        three_ = mix(two_[self.code3 >> _BITS] * np.uint64(0xC2B2AE3D27D4EB4F) + words[self.code3 & _LOW])
+        self.keys = np.concatenate([(k & ~np.uint64(3)) | np.uint64(n) for n, k in ((1, one), (2, two_), (3, three_))])
         if self.begin >= 0:
             self.keys[self.begin] &= ~np.uint64(3)
-        self.order = np.argsort(self.keys)
+        self.order = _order(self.keys >> np.uint64(22), 42)  # all bits that tell buckets are among these
 
     def counts(self) -> np.ndarray:
         return np.concatenate([self.count[n] for n in (1, 2, 3)])
@@ -182,7 +211,7 @@ class Automaton:
         self.root, self.fail, self.fail_weight = root, fail, fail_weight
         self.root_target = np.where(known, np.arange(1, len(known) + 1), 0)
         self.word, self.weight, self.target = word, weight, target
-        self.begins = np.searchsorted(state, np.arange(len(fail) + 1))
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(state, minlength=len(fail)))])
         self.key = state * np.int64(1 << 21) + word
 
     @classmethod
@@ -193,16 +222,16 @@ class Automaton:
         if grams.begin >= 0:
             p1[grams.begin] = ADD / (tokens + ADD * (words + 1))
         known = c[1] > 0
-        u, w = (grams.code[2] >> _BITS).astype(np.int64), (grams.code[2] & _LOW).astype(np.int64)
+        u, w = (grams.code2 >> _BITS).astype(np.int64), (grams.code2 & _LOW).astype(np.int64)
         p2 = (c[2] + PRIOR * p1[w]) / (c[1][u] + PRIOR)
-        before, now = grams.pair[grams.at3 - 1], grams.pair[grams.at3]
+        before, now = (grams.code3 >> _BITS).astype(np.int64), grams.pair[grams.at3]
         p3 = (c[3] + PRIOR * p2[now]) / (c[2][before] + PRIOR)
         fail = np.concatenate([[0], np.zeros(v, np.int64), np.where(known[w], 1 + w, 0)])
         weight = np.concatenate([[0.0], np.log10(PRIOR / (c[1] + PRIOR)), np.log10(PRIOR / (c[2] + PRIOR))])
         pair = np.where(c[2] > 0, 1 + v + np.arange(len(w)), np.where(known[w], 1 + w, 0))  # where a pair leads to
         has2, has3 = c[2] > 0, c[3] > 0
         state = np.concatenate([1 + u[has2], 1 + v + before[has3]])  # rising, as codes are
-        word = np.concatenate([w[has2], (grams.code[3] & _LOW).astype(np.int64)[has3]])
+        word = np.concatenate([w[has2], (grams.code3 & _LOW).astype(np.int64)[has3]])
         arcs = np.concatenate([np.log10(p2[has2]), np.log10(p3[has3])])
         return cls(np.log10(p1), known, fail, weight, state, word, arcs, np.concatenate([pair[has2], pair[now[has3]]]))
 
@@ -277,9 +306,15 @@ def score_block(block: Block, sums: np.ndarray, tokens: int, words: int) -> list
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int, part: int) -> Iterator[tuple[int, Block]]:
-    """Blocks of the texts of a task and their numbers; columns doc_id, text, train."""
+    """Blocks of the texts of a task and their names; columns doc_id, text, train."""
     task = TaskContext.get().partitionId()
     parts, size, number, row = [], 0, 0, 0
+
+    def close() -> tuple[int, Block]:
+        block = Block.of(parts)
+        parts.clear()
+        return block.name(task, number), block
+
     for batch in batches:
         ids, train = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for doc_id, learnt, h in zip(ids, train, word_hashes(as_bytes(batch.column(1))), strict=True):
@@ -289,11 +324,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int, part: int) ->
                 parts.append(((task << 33) + row, doc_id, bool(learnt), a - max(0, a - 2), piece))
                 size += len(piece)
                 if size >= block_tokens:
-                    yield (task << 24) + number, Block.of(parts)
-                    parts, size, number = [], 0, number + 1
+                    yield close()
+                    size, number = 0, number + 1
             row += 1
     if parts:
-        yield (task << 24) + number, Block.of(parts)
+        yield close()
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,12 +336,11 @@ def _messages(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def ask(texts: DataFrame, buckets: int, block_tokens: int = BLOCK_TOKENS, part: int = PART) -> DataFrame:
-    """Messages of all blocks: its texts, and for each bucket its n-grams and their counts. buckets is a power of two."""
+    """Messages of each block to each bucket: its n-grams and their counts. buckets is a power of two."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in _blocks(batches, block_tokens, part):
-            yield _messages([(-1 - number, TEXTS, number, 0, 0, block.packed())])
+        for name, block in _blocks(batches, block_tokens, part):
             grams = Grams(block)
             keys, counts = grams.keys[grams.order], grams.counts()[grams.order].astype(np.uint32)
             ends = np.searchsorted(keys >> shift if buckets > 1 else np.zeros(len(keys), np.uint64), np.arange(buckets + 1, dtype=np.uint64))
@@ -314,14 +348,24 @@ def ask(texts: DataFrame, buckets: int, block_tokens: int = BLOCK_TOKENS, part:
                 rows = []
                 for to in range(i, min(buckets, i + 64)):
                     if len(k := keys[ends[to] : ends[to + 1]]):
-                        rows.append((to, GRAMS, number, 0, 0, pack(np.diff(k, prepend=np.uint64(0)), counts[ends[to] : ends[to + 1]])))
+                        rows.append((to, GRAMS, name, 0, 0, pack(np.diff(k, prepend=np.uint64(0)), counts[ends[to] : ends[to + 1]])))
                 yield _messages(rows)
 
     return texts.mapInArrow(run, MESSAGE)
 
 
+def tell(texts: DataFrame, block_tokens: int = BLOCK_TOKENS, part: int = PART) -> DataFrame:
+    """A message of each block that has its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block in _blocks(batches, block_tokens, part):
+            yield _messages([(-1, TEXTS, name, 0, 0, block.packed())])
+
+    return texts.mapInArrow(run, MESSAGE)
+
+
 def answer(messages: DataFrame) -> DataFrame:
-    """For each message of n-grams their sums over all blocks, and each bucket's training totals; texts go on as they are."""
+    """For each message of n-grams their sums over all blocks, and each bucket's training totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, asked = None, []
@@ -344,10 +388,7 @@ def answer(messages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                to, kind, block, data = (batch.column(j)[i].as_py() for j in (0, 1, 2, 5))
-                if kind == TEXTS:
-                    yield batch.slice(i, 1)
-                    continue
+                to, block, data = (batch.column(j)[i].as_py() for j in (0, 2, 5))
                 if asked and to != current:
                     yield close()
                 current = to
@@ -359,30 +400,34 @@ def answer(messages: DataFrame) -> DataFrame:
     return messages.repartition("to").sortWithinPartitions("to").mapInArrow(run, MESSAGE)
 
 
-def read_texts(answers: DataFrame, tokens: int, words: int) -> DataFrame:
+def read_texts(messages: DataFrame, tokens: int, words: int) -> DataFrame:
     """SCORES of all texts, from blocks and the sums that they got: a row for each text of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sums = None, []
+        current, block, sums = None, None, []
 
         def close() -> pa.RecordBatch:
+            if block is None or not sums:
+                raise ValueError("the documents weren't the same, or in another order, when they were read again: write them to a table first")
             rows, doc_id, has_id, n, known, base, score = score_block(block, np.concatenate(sums), tokens, words)
             sums.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(doc_id, mask=has_id == 0), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], schema=_SCORES)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                kind, data = batch.column(1)[i].as_py(), batch.column(5)[i].as_py()
+                kind, name, data = (batch.column(j)[i].as_py() for j in (1, 2, 5))
+                if current is not None and name != current:
+                    yield close()
+                    block = None
+                current = name
                 if kind == TEXTS:
-                    if block is not None:
-                        yield close()
                     block = Block(*unpack(data))
                 else:
                     sums += unpack(data)
-        if block is not None:
+        if current is not None:
             yield close()
 
-    return answers.where(F.col("kind") != TOTALS).repartition("block").sortWithinPartitions("block", "kind", "to").mapInArrow(run, SCORES)
+    return messages.repartition("block").sortWithinPartitions("block", "kind", "to").mapInArrow(run, SCORES)
 
 
 def score_documents(docs: DataFrame, train: Column, bucket_bytes: int = BUCKET_BYTES, block_tokens: int = BLOCK_TOKENS, part: int = PART) -> DataFrame:
@@ -395,14 +440,16 @@ def score_documents(docs: DataFrame, train: Column, bucket_bytes: int = BUCKET_B
 
     bucket_bytes, block_tokens and part change no result, only how the work is divided.
 
-    Texts are read twice, once for their size. Blocks and messages then pass through two exchanges.
+    docs must give the same rows in the same order whenever it is read, as tables do; else an error is raised, never a wrong
+    score. Texts are read for their size, to ask, and to score. Two exchanges: one of n-grams, one of answers and texts.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << max(0, (size // bucket_bytes).bit_length())
     answers = materialize(answer(ask(texts, buckets, block_tokens, part)), "answers")
     tokens, words = answers.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    parts = read_texts(answers, int(tokens), int(words))
+    # texts first: their tasks then have the numbers that they had when they asked
+    parts = read_texts(tell(texts, block_tokens, part).unionAll(answers.where(F.col("kind") == GRAMS)), int(tokens), int(words))
     sums = [F.sum(a).alias(b) for a, b in (("n", "n_tokens"), ("known", "n_known"), ("base", "base_score"), ("score", "score"))]
     out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *sums)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -526,6 +526,19 @@ def test_rows_without_id_are_decontaminated(spark, tmp_path):
 
 
 def test_shingles_as_defined():
-    h = WordHashes()
-    assert len(shingle_set(h.of(words(b"A b\tc\x0bd a b c")), 3)) == 4 and len(shingle_set(h.of(words("é x".encode())), 3)) == 1
-    assert len(shingle_set(h.of(words(b" \n")), 3)) == 0
+    assert [len(f) for f in shingle_sets([b"A b\tc\x0bd a b c", "é x".encode(), b" \n", None], 3)] == [4, 1, 0, 0]
+
+
+def test_hashes_of_words_dont_depend_on_where_they_stand():
+    rng = random.Random(1)
+    vocabulary = ["é", "x" * 65, "y" * 200, "A", "ab", "ba", *(f"w{i}" for i in range(50))]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 7, 300]))) for _ in range(300)]
+    long = " ".join(rng.choices(vocabulary, k=400_000))
+    run = "Z" * 2_500_000
+    texts += [long, f"{run} tail {run}", f"a {run}", run + "\n" + long, None, " " * 2_200_000]
+    seen = {}
+    for t, h in zip(texts, word_hashes(None if t is None else t.encode() for t in texts), strict=True):
+        w = words((t or "").encode())
+        assert len(w) == len(h)
+        assert all(seen.setdefault(a, b) == b for a, b in zip(w, h.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen)
