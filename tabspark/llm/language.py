@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -35,8 +35,10 @@ FAMILIES = {
 }
 #: About so many documents of a language train the machines.
 PER_LANGUAGE = 600
+MOST_LESSONS = 20_000
 DIMENSIONS = 4096
 UNDETERMINED = "und"
+_WEIGHTS = pa.schema([("langs", pa.list_(pa.string())), ("weights", pa.binary()), ("bias", pa.binary())])
 #: Bytes other than ASCII letters and those of longer characters are spaces; A-Z are lowered.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -89,11 +91,16 @@ class Hierarchy:
     bias: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray) -> Hierarchy:
+    def of(cls, langs: Iterable[str]) -> Hierarchy:
         members = defaultdict(list)
         for lang in sorted(set(langs)):
             members[family_of(lang)].append(lang)
-        self = cls(sorted(members), dict(members))
+        return cls(sorted(members), dict(members))
+
+    @classmethod
+    def fit(cls, x: np.ndarray, langs: np.ndarray) -> Hierarchy:
+        self = cls.of(langs)
+        members = self.languages
         family = np.array([family_of(a) for a in langs])
         machines = [train_svm(x, family == f) for f in self.families] if len(self.families) > 1 else []
         for f in self.families:
@@ -133,13 +140,15 @@ class Hierarchy:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
     """Trains on about per_language rows of each language of labelled (doc_id, text, lang): those of the least hashes.
 
-    Rows with a null lang or text, or no letter, teach nothing. Which rows are taken depends on doc_id alone, and features
-    of their whole texts are made by the executors.
+    Rows with a null lang or text, or no letter, teach nothing. Which rows are taken depends on doc_id alone. Features of
+    their whole texts are made by all executors, and one task of one, whose rows the sample bounds (MOST_LESSONS over all
+    languages), trains the machines; the driver gets the finished weights.
     """
     rows = labelled.where("lang is not null and text is not null")
     count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count:
         return Hierarchy()
+    per_language = min(per_language, MOST_LESSONS // len(count) + 1)
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(count.items())])
     chosen = rows.where(uniform(F.col("doc_id"), "lang") < share)
 
@@ -148,11 +157,23 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
             pairs = [(lang, features(t.encode("utf-8", "surrogatepass"))) for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in pairs], pa.string()), pa.array([x.astype(np.float16).tobytes() for _, x in pairs], pa.binary())], ["lang", "x"])
 
-    got = chosen.select("text", "lang").mapInArrow(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
-    if got.empty:
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if got:
+            x = np.stack([np.frombuffer(b, np.float16) for _, b in got]).astype(np.float32)
+            made = Hierarchy.fit(x, np.array([lang for lang, _ in got], object))
+            weights, bias = (made.weights, made.bias) if made.weights is not None else (np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
+            yield pa.RecordBatch.from_pylist([{"langs": sorted({lang for lang, _ in got}), "weights": weights.astype(np.float32).tobytes(), "bias": bias.astype(float).tobytes()}], schema=_WEIGHTS)
+
+    features_ = chosen.select("text", "lang").mapInArrow(run, "lang string, x binary")
+    found = features_.repartition(1).mapInArrow(train, "langs array<string>, weights binary, bias binary").collect()
+    if not found:
         return Hierarchy()
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32)
-    return Hierarchy.fit(x, got["lang"].to_numpy(object))
+    out = Hierarchy.of(found[0].langs)
+    bias = np.frombuffer(found[0].bias)
+    if len(bias):
+        out.weights, out.bias = np.frombuffer(found[0].weights, np.float32).reshape(DIMENSIONS, len(bias)), bias
+    return out
 
 
 def identify(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tabspark.llm.store import BROADCAST_KEYS, materialize
 from tabspark.llm.text import n_words
 
-#: About so many documents of one key range are sorted together.
-RANGE_DOCS = 1000
-MAX_RANGES = 1 << 16
+#: Cells for a doubling of the keys, and finer cells that the one that a target cuts is divided into.
+COARSE, FINE = 16, 4096
 
 
 def uniform(id_col: Column, seed: str) -> Column:
@@ -41,6 +40,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], total: float, most: floa
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
 
 
+def _cut(rows: DataFrame, sources: DataFrame, cell: str, tag: str) -> DataFrame:
+    """sources with the cell of rows that its `rest` ends in, and the words `ahead` of it. A source has few cells."""
+    sums = materialize(rows.groupBy("source", cell).agg(F.sum("size").alias("words")), tag)
+    up = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("upto", F.sum("words").over(up))
+    both = sums.alias("a").join(sources.drop("ahead").alias("s"), F.expr("a.source <=> s.of"))
+    start = F.col("s.start") if "start" in sources.columns else F.lit(0.0)
+    found = both.where((F.col("words") > 0) & (start + F.col("upto") >= F.col("rest")) & (F.col("rest") > 0))
+    first = found.groupBy("s.of").agg(F.min(F.struct(F.col(f"a.{cell}").alias("at"), (start + F.col("upto") - F.col("words")).alias("ahead"))).alias("cut"))
+    kept = [f"s.{c}" for c in sources.columns if c not in ("start", "ahead")]
+    out = sources.alias("s").join(first.alias("c"), F.expr("s.of <=> c.of"), "left")
+    return materialize(out.select(*kept, F.col("c.cut.at").alias(f"cut_{cell}"), F.col("c.cut.ahead").alias("start")), f"{tag}-cut")
+
+
 def mix(
     docs: DataFrame,
     quality: Column,
@@ -48,43 +61,53 @@ def mix(
     total: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
+    carry: bool = False,
 ) -> DataFrame:
-    """Mixes whole documents: doc_id, source, size, source_size, target, taken; one row per row of docs.
+    """Mixes whole documents: doc_id, source, size, source_size, target, taken; one row per row of docs. With `carry` all
+    columns of docs, then size, source_size, target and taken, which replace columns of these names.
 
     Each source repeats all its documents for floor(target / source_size) complete epochs; what its target has left is
-    filled with documents in falling order of u ** (1 / quality) (the keys of Efraimidis and Spirakis; the order of rising
-    exponentials scaled by 1 / quality), up to the document that would overshoot by more than half its size. `quality` is a
-    positive weight over doc_id, source, text and size; null or not positive counts as the smallest weight. Size is the
-    words of the text; a null text has none. A null source is a source. Ties and repeated rows go by doc_id and size; no documents give no rows; extra columns
-    are ignored. The same rows always give the same result.
-
-    The text is read once. Keys fall into ranges, whose word counts are summed before the shuffle; then each source has one
-    range that its target cuts, and only that range is sorted. So no source, however large, goes to one task.
+    filled with documents in rising order of -log(u) / quality (which is the falling order of u ** (1 / quality), the keys of
+    Efraimidis and Spirakis, but never underflows), up to the document that would overshoot by more than half its size.
+    `quality` is a positive weight over doc_id, source, text and size; null or not positive counts as the smallest weight.
+    u is fixed by doc_id, or by the text where that is null. Size is the words of the text; a null text has none. A null
+    source is a source. Ties and repeated rows go by doc_id and size; no documents give no rows; other columns are ignored
+    or carried. The same rows always give the same result.
+
+    Keys fall into cells of their logarithms, whatever the scale of the weights. Word counts of cells are summed before the
+    shuffle; the cell that a target cuts is divided once more, and only that part, some millionths of a source, is sorted.
+    So no source, however large, goes to one task. Of texts nothing is shuffled but those of that part.
     """
     weight = F.when(quality > 0, quality).otherwise(F.lit(1e-6))
-    u = uniform(F.col("doc_id"), seed)
-    sized = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))
-    sized = sized.select("doc_id", "source", "size", F.pow(u, 1.0 / weight).alias("key"))
-    sized = materialize(sized, "sizes")
-    ranges = min(MAX_RANGES, max(16, sized.count() // RANGE_DOCS))
-    place = F.floor(F.col("key") * ranges)  # rising with the key
-    cells = materialize(sized.groupBy("source", place.alias("cell")).agg(F.sum("size").alias("words")), "cells")
-
-    sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
+    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), seed)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        sized = rows.withColumn("size", n_words(F.col("text"))).withColumn("key", -F.log(u) / weight)
+        place = F.log2("key") * COARSE
+        return sized.withColumn("coarse", F.floor(place)).withColumn("fine", F.floor((place - F.floor(place)) * FINE))
+
+    sized = materialize(keyed(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    down = Window.partitionBy("source").orderBy(F.col("cell").desc())
-    ahead = cells.withColumn("ahead", F.sum("words").over(down) - F.col("words"))
-    cut = ahead.alias("a").join(sources.alias("s"), F.expr("a.source <=> s.source"))
-    cut = cut.where("ahead < rest and ahead + words >= rest").groupBy("s.source").agg(F.max(F.struct("cell", "ahead")).alias("cut"))
-    sources = sources.alias("s").join(cut.alias("c"), F.expr("s.source <=> c.source"), "left").select("s.*", "cut.cell", "cut.ahead")
-    sources = materialize(sources.withColumnRenamed("source", "of"), "targets")
+    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "of")
+    sources = materialize(sources, "targets")
     few = sources.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS // 8
-
-    joined = sized.withColumn("at", place).join(F.broadcast(sources) if few else sources, F.expr("source <=> of"))
-    joined = joined.withColumn("whole", F.expr("case when rest <= 0 then false when cell is null then true else at > cell end"))
-    inside = F.expr("rest > 0 and cell is not null and at = cell")
-    by_key = Window.partitionBy("of").orderBy(F.col("key").desc(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_ = joined.where(inside).withColumn("whole", F.col("ahead") + F.coalesce(F.sum("size").over(by_key), F.lit(0)) + F.col("size") / 2 < F.col("rest"))
-    both = joined.where(~inside).unionByName(sorted_)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("whole").cast("long"))).alias("taken"))
+    side = lambda x: F.broadcast(x) if few else x
+
+    sources = _cut(sized, sources, "coarse", "coarse")
+    cut = sized.join(side(sources.select("of", "cut_coarse")), F.expr("source <=> of and coarse = cut_coarse")).drop("of", "cut_coarse")
+    sources = _cut(cut, sources, "fine", "fine")
+
+    rows = sized
+    if carry:
+        names = ("size", "source_size", "target", "taken")
+        own = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns if c not in names]).alias("own")
+        rows = keyed(docs.select("doc_id", "source", "text", own)).drop("text")
+    joined = rows.join(side(sources), F.expr("source <=> of"))
+    inside = F.expr("rest > 0 and coarse <=> cut_coarse and fine <=> cut_fine")
+    before = F.expr("rest > 0 and (cut_coarse is null or coarse < cut_coarse or (coarse = cut_coarse and (cut_fine is null or fine < cut_fine)))")
+    by_key = Window.partitionBy("of").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_ = joined.where(inside).withColumn("whole", F.col("start") + F.coalesce(F.sum("size").over(by_key), F.lit(0)) + F.col("size") / 2 < F.col("rest"))
+    both = joined.where(~inside).withColumn("whole", before).unionByName(sorted_)
+    kept = ["own.*"] if carry else ["doc_id", "source"]
+    return both.select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("whole").cast("long"))).alias("taken"))

@@ -22,13 +22,13 @@ SELECT s.doc_id, len(f) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT x
 
 MIX = r"""
 WITH d AS (SELECT doc_id, source, length(coalesce(text, '')) AS chars, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-k AS (SELECT *, pow((CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0, 1.0 / CASE WHEN size > 0 THEN 1.0 / (1.0 + abs(chars / size - 6.0) / 6.0) ELSE 1e-6 END) AS key FROM d),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / CASE WHEN size > 0 THEN 1.0 / (1.0 + abs(chars / size - 6.0) / 6.0) ELSE 1e-6 END AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS FIRST) AS place FROM s),
 v AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5 - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM v WHERE level * w <= cap) * w, cap)) AS target FROM v),
 j AS (SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
-  coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key DESC, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+  coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND ahead + size / 2 < target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM j
 """
 

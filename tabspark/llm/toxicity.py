@@ -1,17 +1,16 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's embedding is the mean of those of its character n-grams, so an unseen misspelling shares most of its word's. The
-embeddings of WINDOW neighbouring words are averaged and go through a linear softmax of two classes; a document is as toxic
-as its most toxic window, wherever in the text that is. (One average over a long text drowns the few words that matter.)
+A word's embedding is the mean of those of its character n-grams and of the word itself, so an unseen misspelling shares most
+of its word's. The embeddings of WINDOW neighbouring words are averaged and go through a linear softmax of two classes. What
+makes a document toxic may be one word of thousands, which an average over the whole text drowns; so a document is as toxic as
+its most toxic window. In training the maximum is a soft one that sharpens from round to round: gradients go to all windows of
+a document in proportion to what they say, at first, and to the most toxic one in the end.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from array import array
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,50 +20,129 @@ from pyspark.sql import types as T
 
 from tabspark.llm.mixing import uniform
 from tabspark.llm.store import by_keys, materialize
-from tabspark.llm.text import as_bytes, words
+from tabspark.llm.text import CHUNK, as_bytes, mix
 
-BUCKETS = 1 << 16
-DIMENSIONS = 8
-SHORTEST, LONGEST = 3, 6
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
+DIMENSIONS = 16
+SIZES = (3, 4, 5, 6)
 #: Words averaged together.
-WINDOW = 1
+WINDOW = 2
 #: About so many toxic and twice as many clean documents train the model, none of more bytes than LONGEST_LESSON.
 PER_CLASS = 1000
-LONGEST_LESSON = 200_000
-ROUNDS = 60
-#: Standard deviations beyond which a bucket tells the classes apart from the start, and beyond which it may come to.
-SURE, LIKELY = 3.0, 2.0
-DECAY = 1e-3
-KEEP_WORDS = 300_000
+LONGEST_LESSON = 50_000
+ROUNDS, RATE, DECAY = 80, 0.05, 1e-4
+#: How sharp the soft maximum is in the end; it begins as the log of the windows' summed odds.
+SHARPEST = 4.0
+#: Log odds of a window before anything is learnt.
+START_BIAS = -6.0
 #: A run of more bytes (text without spaces, say) is no single word: it is as toxic as its most toxic part.
 LONGEST_WORD = 64
-#: Bytes of the pieces of a long run, at each of its places.
+#: Bytes of the parts of a long run, at each of its places.
 PIECES = (8, 12, 16, 24, 32, 48, 64)
-#: A long run is read in blocks of so many bytes that overlap by its longest piece.
-BLOCK = 1 << 16
-_EDGE = b".,;:!?\"'()[]{}<>*$%&#|`~-_/\\"
+_MARKS = b"\t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*$%&#|`~-_/\\"
+#: A-Z lowered; what stands between words is a space.
+_FOLD = bytes(32 if b in _MARKS else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
+_TIMES = 0x9E3779B97F4A7C15
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-_PARTS = re.compile(b"[" + re.escape(_EDGE) + b"]+")
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    return ((h + np.uint64(salt)) * _SPREAD >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
 
 
-def grams(word: bytes) -> list[int]:
-    """Buckets of a word's character n-grams (of bytes, the word's ends marked) and of the word itself."""
-    w = b"<" + (word.strip(_EDGE) or word) + b">"
-    found = [zlib.crc32(w[i : i + n]) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)]
-    return [*found, zlib.crc32(w) % BUCKETS]
+@dataclass
+class Cells:
+    """Words of a piece of text: where each starts and ends, and the buckets of n-grams by the place where they begin.
 
+    The space before a word and that after it are part of its n-grams. whole: the bucket of each word itself.
+    """
 
-def parts(words_: list[bytes]) -> list[bytes]:
-    """Words to learn from: of a long run what lies between its marks, and that in overlapping pieces where it is long itself."""
-    out = []
-    for word in words_:
-        if len(word) <= LONGEST_WORD:
-            out.append(word)
-            continue
-        for part in filter(None, _PARTS.split(word)):
-            out += [part[i : i + LONGEST_WORD] for i in range(0, max(1, len(part) - LONGEST_WORD // 2), LONGEST_WORD // 2)]
-    return out or words_[:1]
+    start: np.ndarray
+    end: np.ndarray
+    grams: dict[int, np.ndarray]
+    whole: np.ndarray
+
+    @classmethod
+    def of(cls, folded: bytes) -> Cells:
+        """folded: text through _FOLD, a space before and after it."""
+        b = np.frombuffer(folded, np.uint8)
+        inside = b != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, end = edge[::2], edge[1::2]
+        value = _VALUE[b]
+        h, power, grams = value.copy(), 1, {}
+        for n in range(2, max(SIZES) + 1):
+            power = power * _TIMES % (1 << 64)
+            h = h[: len(b) - n + 1] + value[n - 1 :] * np.uint64(power)
+            if n in SIZES:
+                grams[n] = _bucket(h, n)
+        # a word is known by its length and the sum of what its neighbouring bytes hash to
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value[:-1] * np.uint64(3) + value[1:]))])
+        whole = sums[end] - sums[start - 1]
+        return cls(start, end, grams, _bucket(mix(whole + (end - start).astype(np.uint64)), 1))
+
+    def of_word(self, i: int) -> np.ndarray:
+        a, b = self.start[i] - 1, self.end[i] + 1
+        return np.concatenate([*(self.grams[n][a : b - n + 1] for n in SIZES if b - a >= n), self.whole[i : i + 1]])
+
+    def scores(self, by_bucket: np.ndarray) -> np.ndarray:
+        """Each word's mean over its buckets; of a long run that of its highest part."""
+        total, size = by_bucket[self.whole], np.ones(len(self.start))
+        sums = {n: np.concatenate([[0.0], np.cumsum(by_bucket[g])]) for n, g in self.grams.items()}
+        a, b = self.start - 1, self.end + 1
+        for n in SIZES:
+            stop = np.maximum(a, b - n + 1)
+            total = total + sums[n][np.minimum(stop, len(sums[n]) - 1)] - sums[n][np.minimum(a, len(sums[n]) - 1)]
+            size += stop - a
+        out = total / size
+        for i in np.flatnonzero(self.end - self.start > LONGEST_WORD):
+            best = -np.inf
+            for piece in PIECES:
+                at = np.arange(a[i], b[i] - piece + 1)
+                held = sum(sums[n][at + piece - n + 1] - sums[n][at] for n in SIZES)
+                best = max(best, float(held.max()) / sum(piece - n + 1 for n in SIZES))
+            out[i] = best
+        return out
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A folded text in parts of at most CHUNK bytes with a space on both sides, cut at spaces; a longer run is cut with an
+    overlap of its longest part."""
+    at = 0
+    while at < len(text):
+        stop, following = at + CHUNK, at + CHUNK
+        if stop < len(text) and text[stop] != 32:
+            cut = text.rfind(b" ", at, stop)
+            stop, following = (cut, cut) if cut > at else (stop, stop - max(PIECES))
+        yield b" " + text[at:stop] + b" "
+        at = following
+
+
+def word_scores(texts: Iterable[bytes | None], by_bucket: np.ndarray) -> Iterator[np.ndarray]:
+    """For each text its words' parts of the softmax's toxic minus clean logit. Texts are read together, very long ones in parts."""
+
+    def together(some: list[bytes]) -> Iterator[np.ndarray]:
+        cells = Cells.of(b" " + b" ".join(some) + b" ")
+        found = cells.scores(by_bucket)
+        bounds = np.searchsorted(cells.start, np.cumsum([0, *(len(t) + 1 for t in some)]) + 1)
+        for i in range(len(some)):
+            yield found[bounds[i] : bounds[i + 1]]
+
+    some, size = [], 0
+    for text in texts:
+        text = (text or b"").translate(_FOLD)
+        if some and size + len(text) + 1 > CHUNK:
+            yield from together(some)
+            some, size = [], 0
+        if len(text) < CHUNK:
+            some.append(text)
+            size += len(text) + 1
+        else:
+            yield np.concatenate([Cells.of(p).scores(by_bucket) for p in pieces(text)])
+    if some:
+        yield from together(some)
 
 
 def windows(s: np.ndarray) -> np.ndarray:
@@ -79,142 +157,137 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+class Lessons:
+    """Texts to learn from, as buckets of distinct words, words in order, and windows."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        number: dict[bytes, int] = {}
+        cells, docs = [], []
+        for text in texts:
+            folded = b" " + text.translate(_FOLD) + b" "
+            found, own = Cells.of(folded), []
+            for i, (a, b) in enumerate(zip(found.start.tolist(), found.end.tolist(), strict=True)):
+                word = folded[a:b]
+                if (n := number.get(word)) is None:
+                    n = number[word] = len(number)
+                    cells.append(found.of_word(i))
+                own.append(n)
+            docs.append(np.array(own, np.int64))
+        self.cells = np.concatenate(cells)  # 16 bits each
+        self.size = np.array([len(c) for c in cells])
+        self.first = np.cumsum(self.size) - self.size
+        self.words = np.concatenate(docs)
+        length = np.array([len(d) for d in docs])
+        self.n = np.maximum(1, length - WINDOW + 1)  # windows of each text
+        self.begins = np.cumsum(self.n) - self.n
+        self.at = np.arange(self.n.sum()) + np.repeat(np.cumsum(length) - length - self.begins, self.n)
+        self.width = np.repeat(np.minimum(WINDOW, length), self.n)
+
+
 class Model:
-    """embedding: a row for each bucket; out: the softmax's weights of toxic minus clean, and their bias."""
+    """embedding: a row for each bucket; out: the softmax's weights of clean and toxic, a column each; bias: toxic minus clean."""
 
     def __init__(self) -> None:
-        self.embedding = np.zeros((BUCKETS, DIMENSIONS))
-        self.out = np.random.default_rng(7).normal(size=DIMENSIONS)
-        self.out /= np.linalg.norm(self.out)
-        self.bias = -2.0
+        r = np.random.default_rng(7)
+        self.embedding = r.normal(scale=0.1, size=(BUCKETS, DIMENSIONS))
+        self.out = r.normal(size=(DIMENSIONS, 2)) / np.sqrt(DIMENSIONS)
+        self.bias = START_BIAS
 
-    def fit(self, texts: list[list[bytes]], toxic: np.ndarray) -> Model:
-        """Embeddings and softmax together, by full-batch gradients through each document's most toxic window.
+    def by_bucket(self) -> np.ndarray:
+        """What a bucket adds to the toxic minus clean logit of a word that it stands for alone."""
+        return self.embedding @ (self.out[:, 1] - self.out[:, 0])
 
-        Before any window can be chosen, buckets start along the softmax's weights by how surely they tell the classes apart:
-        their summed gradients over all documents, divided by the root of the summed squares, as far as that is beyond SURE.
+    def gradients(self, x: Lessons, y: np.ndarray, weight: np.ndarray, sharp: float = 1.0) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """Weighted cross entropy of texts by the soft maximum of their windows, and its gradients by embedding, out and bias.
+
+        A softmax of two classes depends on the embeddings through one number a bucket, so these are propagated as numbers.
         """
-        number: dict[bytes, int] = {}
-        docs = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in texts]
-        held_by, size = array("H"), np.empty(len(number), np.int64)
-        for i, w in enumerate(number):
-            held_by.extend(g := grams(w))
-            size[i] = len(g)
-        cells = np.frombuffer(held_by, np.uint16)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        flat = lambda ws: np.concatenate([cells[first[w] : first[w] + size[w]] for w in ws])
-        y = toxic.astype(float)
+        along = self.out[:, 1] - self.out[:, 0]
+        words = np.add.reduceat((self.embedding @ along)[x.cells], x.first) / x.size
+        c = np.concatenate([[0.0], np.cumsum(words[x.words])])
+        z = (c[x.at + x.width] - c[x.at]) / x.width + self.bias
+        top = np.maximum.reduceat(z, x.begins)
+        odds = np.exp(sharp * (z - np.repeat(top, x.n)))
+        total = np.add.reduceat(odds, x.begins)
+        logit = top + np.log(total) / sharp
+        loss = float((weight * np.logaddexp(0, np.where(y, -logit, logit))).sum())
+        error = (sigmoid(logit) - y) * weight
+        by_window = np.repeat(error / total, x.n) * odds
+        ends = np.bincount(x.at, weights=by_window / x.width, minlength=len(x.words) + 1) - np.bincount(x.at + x.width, weights=by_window / x.width, minlength=len(x.words) + 1)
+        by_word = np.bincount(x.words, weights=np.cumsum(ends)[:-1], minlength=len(x.size)) / x.size
+        by_cell = np.bincount(x.cells, weights=np.repeat(by_word, x.size), minlength=BUCKETS)
+        by_out = self.embedding.T @ by_cell
+        return loss, by_cell[:, None] * along, np.stack([-by_out, by_out], 1), float(by_window.sum())
+
+    def fit(self, texts: list[bytes], toxic: np.ndarray) -> Model:
+        """Embeddings, softmax and bias together, by Adam over all texts at once, both classes of the same weight."""
+        x, y = Lessons(texts), toxic.astype(float)
         weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-        up, squares = np.zeros(BUCKETS), np.full(BUCKETS, 1e-12)
-        for d, error in zip(docs, (y - 0.5) * weight, strict=True):
-            held = np.unique(flat(np.unique(d)))
-            up[held] += error
-            squares[held] += error * error
-        up /= np.sqrt(squares)
-        chance = up < LIKELY  # buckets that may only rise by chance: a label without cause teaches nothing
-        up = np.sign(up) * np.maximum(0.0, np.abs(up) - SURE)
-        self.embedding = 6.0 * (up / max(1e-12, np.abs(up).max()))[:, None] * self.out
-
-        bounds, in_order = np.cumsum([0, *map(len, docs)]), np.concatenate(docs)
-        speed = np.zeros_like(self.embedding)
-        for round_ in range(ROUNDS):
-            vectors = np.add.reduceat((self.embedding @ self.out).astype(np.float32)[cells], first) / size
-            by_doc = [windows(vectors[in_order[a:b]]) for a, b in pairwise(bounds)]
-            at = [z.argmax() for z in by_doc]
-            z = np.array([z[i] for z, i in zip(by_doc, at, strict=True)])
-            if not round_:
-                self.bias = -(np.median(z[toxic]) + np.median(z[~toxic])) / 2
-            error = (y - sigmoid(z + self.bias)) * weight
-            chosen = [d[i : i + WINDOW] for d, i in zip(docs, at, strict=True)]
-            share = [np.full(len(x), e / len(x)) for x, e in zip(chosen, error, strict=True)]
-            used, back = np.unique(np.concatenate(chosen), return_inverse=True)
-            up = np.bincount(back, weights=np.concatenate(share)) / size[used]
-            up = np.bincount(flat(used), weights=np.repeat(up, size[used]), minlength=BUCKETS)
-            up[chance & (up > 0)] = 0.0
-            rate = 1.0 - round_ / ROUNDS
-            turn = up @ self.embedding
-            speed = 0.8 * speed + up[:, None] * self.out
-            self.embedding = (self.embedding + 1000.0 * rate * speed) * (1 - DECAY)
-            self.out = self.out + 0.01 * rate * turn
-            self.bias += 0.5 * error.sum()
+        state = {name: (0.0, 0.0) for name in ("embedding", "out", "bias")}
+        for i in range(1, ROUNDS + 1):
+            _, by_embedding, by_out, by_bias = self.gradients(x, y, weight, 1 + (SHARPEST - 1) * i / ROUNDS)
+            rate = RATE * (1 - (i - 1) / ROUNDS)
+            for name, g in (("embedding", by_embedding + DECAY * self.embedding), ("out", by_out), ("bias", by_bias)):
+                m, v = state[name]
+                state[name] = m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+                setattr(self, name, getattr(self, name) - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8))
         return self
 
-
-class WordScores(dict):
-    """word -> its part of the softmax's toxic minus clean logit."""
-
-    def __init__(self, by_bucket: np.ndarray) -> None:
-        super().__init__()
-        self.by_bucket = by_bucket.tolist()
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        if len(word) > LONGEST_WORD:
-            return self.of_run(word)
-        g = grams(word)
-        b = self.by_bucket
-        self[word] = s = sum([b[x] for x in g]) / len(g)
-        return s
-
-    def of_run(self, run: bytes) -> float:
-        """A long run's most toxic part: a word between its marks, or a piece of it anywhere. Not kept, however long it is."""
-        best = max((self[w] for w in _PARTS.split(run) if 0 < len(w) <= LONGEST_WORD), default=-np.inf)
-        b, step = self.by_bucket, BLOCK - max(PIECES)
-        for start in range(0, max(1, len(run) - max(PIECES)), step):
-            w = run[start : start + BLOCK]
-            sums = {}
-            for n in range(SHORTEST, LONGEST + 1):
-                sums[n] = np.cumsum([0.0, *(b[zlib.crc32(w[i : i + n]) % BUCKETS] for i in range(len(w) - n + 1))])
-            for size in PIECES:
-                if size > len(w):
-                    break
-                at = np.arange(len(w) - size + 1)
-                held = sum(sums[n][at + size - n + 1] - sums[n][at] for n in sums)
-                best = max(best, float(held.max()) / sum(size - n + 1 for n in sums))
-        return best
+    def logit(self, texts: Iterable[bytes | None]) -> np.ndarray:
+        """Log odds of texts; of one without words the bias alone."""
+        return np.array([windows(s).max() + self.bias if len(s) else self.bias for s in word_scores(texts, self.by_bucket())])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Trains on about per_class toxic and twice as many clean documents, chosen by the hashes of the ids in labels (doc_id, toxic).
 
     A label of several rows is toxic if any is; null labels and ids, and texts without words or longer than LONGEST_LESSON
-    bytes, teach nothing. If only one class is left, the model is the untrained one, which takes nothing for toxic.
+    bytes, teach nothing. If only one class is left, the model is the untrained one, which takes nothing for toxic. Training
+    is one task of an executor, whose rows the sample bounds; the driver gets the finished weights.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r.toxic: r.n for r in one.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") > 0, min(1.0, per_class / max(1, count.get(True, 0)))).otherwise(min(1.0, 2 * per_class / max(1, count.get(False, 0))))
     chosen = materialize(one.where(uniform(F.col("doc_id"), "toxic") < share), "lessons")
     rows = by_keys(docs.select("doc_id", "text").where(F.octet_length("text") <= LONGEST_LESSON), chosen.select("doc_id"), "doc_id", "left_semi").join(chosen, "doc_id")
-    found = sorted({(r.text, r.toxic > 0) for r in rows.select("text", "toxic").toLocalIterator()})
-    lessons = [(ws, y) for t, y in found if (ws := parts(words(t.encode("utf-8", "surrogatepass"))))]
-    toxic = np.array([y for _, y in lessons], bool)
-    if not toxic.any() or toxic.all():
-        return Model()
-    return Model().fit([ws for ws, _ in lessons], toxic)
+    schema = pa.schema([("embedding", pa.binary()), ("out", pa.binary()), ("bias", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lessons = {(t, bool(y)) for batch in batches for t, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True)}
+        lessons = sorted(x for x in lessons if x[0].translate(_FOLD).strip())
+        toxic = np.array([y for _, y in lessons], bool)
+        if toxic.any() and not toxic.all():
+            model = Model().fit([t for t, _ in lessons], toxic)
+            yield pa.RecordBatch.from_pylist([{"embedding": model.embedding.astype(np.float32).tobytes(), "out": model.out.tobytes(), "bias": float(model.bias)}], schema=schema)
+
+    trained = rows.select("text", F.col("toxic") > 0).repartition(1).mapInArrow(run, "embedding binary, out binary, bias double").collect()
+    model = Model()
+    if trained:
+        model.embedding = np.frombuffer(trained[0].embedding, np.float32).reshape(BUCKETS, DIMENSIONS).astype(float)
+        model.out, model.bias = np.frombuffer(trained[0].out).reshape(DIMENSIONS, 2), trained[0].bias
+    else:
+        model.embedding = np.zeros_like(model.embedding)
+        model.bias = -40.0
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0) added, replaced if docs has such.
 
-    Each whole text is read, and long runs without spaces in pieces; null texts and texts without words score as the bias alone. Only the text tells. Repeated rows
-    and null ids are rows like any other. One pass, no shuffle.
+    Each whole text is read, long runs without spaces in parts; null texts and texts without words score as the bias alone.
+    Only the text tells. Repeated rows and null ids are rows like any other. One pass, no shuffle.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     at = kept.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast((model.embedding @ model.out, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.by_bucket(), float(model.bias)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket, bias = shared.value
-        scores = WordScores(by_bucket)
         for batch in batches:
-            z = np.full(batch.num_rows, bias)
-            for i, text in enumerate(as_bytes(batch.column(at))):
-                if ws := words(text):
-                    z[i] += windows(np.fromiter(map(scores.__getitem__, ws), float, len(ws))).max()
-            p = sigmoid(z)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            found = word_scores(as_bytes(batch.column(at)), by_bucket)
+            p = sigmoid(np.array([windows(s).max() + bias if len(s) else bias for s in found]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)

@@ -272,8 +272,53 @@ def test_toxic_words_behind_the_first_bytes_of_a_run(spark):
     runs = ["_".join(clean.split()), "".join(clean.split()), "x" * 70_000]
     texts = [*runs, runs[0] + "_horrible", runs[1] + "horrible" + runs[1], runs[2] + "nastiness", runs[2] + "/horrible/" + "x" * 200]
     assert [r.predicted for r in toxicity.score(docs(spark, texts), model).orderBy("doc_id").collect()] == [0, 0, 0, 1, 1, 1, 1]
-    long = b"y" * 100 + b"nastiness"
-    assert any(b"nastiness" in x for x in toxicity.parts([long])) and max(map(len, toxicity.parts([long]))) <= toxicity.LONGEST_WORD
+
+
+def test_toxicity_gradients_agree_with_finite_differences():
+    rng = random.Random(4)
+    texts = [(prose(rng, rng.choice([1, 2, 9])) + x).encode() for x in ("", " vile", "", " vilest", " no") for _ in range(3)]
+    y = np.array([b"vile" in t for t in texts], float)
+    lessons, weight, model = toxicity.Lessons(texts), np.full(len(texts), 1 / len(texts)), toxicity.Model()
+    model.bias = -1.0
+    for sharp in (1.0, 3.0):
+        _, by_embedding, by_out, by_bias = model.gradients(lessons, y, weight, sharp)
+        loss = lambda: model.gradients(lessons, y, weight, sharp)[0]
+        for array, gradient in ((model.embedding, by_embedding), (model.out, by_out)):
+            for place in zip(*np.unravel_index(np.argsort(-np.abs(gradient), axis=None)[:: max(1, gradient.size // 9)][:6], gradient.shape), strict=True):
+                kept, step = array[place], 1e-5
+                array[place] = kept + step
+                up = loss()
+                array[place] = kept - step
+                assert math.isclose((up - loss()) / (2 * step), gradient[place], rel_tol=1e-4, abs_tol=1e-8)
+                array[place] = kept
+        kept = model.bias
+        model.bias = kept + 1e-5
+        up = loss()
+        model.bias = kept - 1e-5
+        assert math.isclose((up - loss()) / 2e-5, by_bias, rel_tol=1e-4)
+        model.bias = kept
+
+
+def test_toxicity_embeddings_have_many_dimensions():
+    rng = random.Random(5)
+    texts = [(prose(rng, 30) + (" vile" if i % 3 == 0 else "")).encode() for i in range(60)]
+    model = toxicity.Model().fit(texts, np.arange(60) % 3 == 0)
+    values = np.linalg.svd(model.embedding[np.unique(toxicity.Lessons(texts).cells)], compute_uv=False)
+    assert values[1] > 0.02 * values[0] and (values > 1e-3 * values[0]).all()
+    assert (model.logit(texts) > 0).tolist() == [i % 3 == 0 for i in range(60)]
+    assert model.logit([b"w1 vilee w2"]) > model.logit([b"w1 tree w2"])  # shares n-grams with what was learnt
+
+
+def test_toxicity_scores_dont_depend_on_where_a_text_stands():
+    rng = random.Random(6)
+    by_bucket = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    texts = [prose(rng, rng.choice([0, 1, 5, 80])).encode() for _ in range(200)]
+    alone = [next(toxicity.word_scores([t], by_bucket)) for t in texts]
+    assert all(np.allclose(a, b) for a, b in zip(alone, toxicity.word_scores(texts, by_bucket), strict=True))
+    long = b" ".join(texts * 200)
+    assert len(long) > 2 * toxicity.CHUNK
+    got = next(toxicity.word_scores([long], by_bucket))
+    assert len(got) == 200 * sum(map(len, alone)) and np.allclose(got[: sum(map(len, alone))], np.concatenate(alone))
 
 
 # 7: tokens
