@@ -1,8 +1,8 @@
 """The corpus pipeline: documents -> language ID -> toxicity -> near duplicates -> decontamination -> mix.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs. All but the last return the columns of documents;
-the last adds size, source_size, target and taken. Rows with nulls, empty texts, repeated rows and clashing extra columns
-pass as the operators' docstrings say.
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of docs, whole rows with all columns, whatever their names;
+the last adds size, source_size, target and taken (replacing columns of these names). No documents give none. How nulls,
+empty texts and repeated rows are judged is told at each stage; very long texts are read whole by all.
 """
 
 from __future__ import annotations
@@ -20,20 +20,31 @@ from tabspark.llm.store import BROADCAST_KEYS, by_keys, materialize
 LEAST_SURE = 0.3
 
 
+def _wrapped(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs as two columns, text and the whole row, so that no name can clash; and what makes rows of docs of such again."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+    return docs.select("text", row), lambda found: found.select("row.*")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (or null) and those that fit none of the learned languages."""
+    """Rejects texts without a letter (or null, or empty) and those that fit none of the learned languages.
+
+    Only the text decides: null ids, nulls in other columns and repeated rows are judged like any other.
+    """
     labelled = docs.select("doc_id", "text", "lang").where(language.learnable(F.col("doc_id")))
-    plain = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    found = language.identify(plain, labelled)
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SURE)).select(*plain.columns)
+    rows, restore = _wrapped(docs)
+    found = language.identify(rows, labelled)
+    return restore(found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SURE)))
 
 
 def toxic_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the toxicity model takes for toxic."""
+    """Rejects documents that the toxicity model takes for toxic.
+
+    Null and empty texts stay. Only the text decides: null ids and repeated rows are judged like any other.
+    """
     lessons = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~lm.held_out(F.col("doc_id"), 5))
-    plain = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
-    found = toxicity.score(plain, toxicity.fit(docs.select("doc_id", "text"), lessons))
-    return found.where("predicted = 0").select(*plain.columns)
+    rows, restore = _wrapped(docs)
+    return restore(toxicity.score(rows, toxicity.fit(docs.select("doc_id", "text"), lessons)).where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +76,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources; keeps what the mix takes, with how many words of it (repeats counted)."""
-    parts = mixing.mix(docs, quality(), (5, 2, 1), 1.5, 2.0)
-    return parts.where("taken > 0")
+    """Mixes the sources; keeps what the mix takes, whole rows with all columns, and how many words of each (repeats counted).
+
+    A null source is a source, a null or empty text has no words and is never taken, repeated rows are rows like any other.
+    """
+    return mixing.mix(docs, quality(), (5, 2, 1), 1.5, 2.0, carry=True).where("taken > 0")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
