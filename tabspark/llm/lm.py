@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.llm.packing import pack, unpack
 from tabspark.llm.store import materialize
 from tabspark.llm.text import as_bytes, mix, word_hashes
 
@@ -55,28 +56,6 @@ def held_out(doc_id: Column, of: int, remainder: int = 0) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % of == remainder
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; equal bytes of neighbours stand side by side."""
-    out = []
-    for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-        data = pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True) if planes else b""
-        out += [struct.pack("<cQQ", a.dtype.char.encode(), len(a), len(data)), data]
-    return b"".join(out)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        kind, n, size = struct.unpack_from("<cQQ", data, at)
-        dtype = np.dtype(kind.decode())
-        at += 17
-        planes = pa.Codec("zstd").decompress(data[at : at + size], n * dtype.itemsize, asbytes=True) if n else b""
-        out.append(np.frombuffer(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T.tobytes(), dtype))
-        at += size
-    return out
-
-
 def _runs(x: np.ndarray) -> np.ndarray:
     """Which values of a sorted array differ from the one before."""
     new = np.ones(len(x), bool)

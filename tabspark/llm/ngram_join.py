@@ -17,9 +17,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.llm.packing import pack, unpack
 from tabspark.llm.store import by_keys, materialize
 from tabspark.llm.text import as_bytes, mix, set_hash, shingle_sets
 
@@ -28,12 +30,18 @@ LARGEST = 1 << 40
 #: From this threshold on bands span an octave and a signature takes two of three parts of a first-level partition; below it
 #: sets of one band differ more, so bands are narrower and a signature takes one of two parts.
 DENSE = 85
-#: Signatures that a worker holds before it gives them on.
-FLUSH = 200_000
+#: Signatures of a block of documents, and bytes of text for each bucket of signatures.
+BLOCK = 1_500_000
+BUCKET_BYTES = 8 << 20
+#: Numbers of a set's profile; a power of two.
+CELLS = 64
 #: In a bucket of more sets, those not yet connected are joined by what sets them apart from its center.
 CROWD = 32
 _SPREAD, _HALF = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
 #: Odd factors of the parts in a signature.
+_MESSAGE = [("to", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]
+#: Kinds of messages: what a block's rows are, and signatures.
+ROWS, SIGNATURES = 0, 1
 _TIMES = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
@@ -150,54 +158,129 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def signed_documents(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class_id (a hash of the set; null without shingles), sigs; a row per row of docs.
+def _profile(f: np.ndarray) -> np.ndarray:
+    """How many shingles of a sorted set lie in each of CELLS parts of the domain. Sets differ in no fewer than their profiles."""
+    at = np.searchsorted(f, np.arange(CELLS + 1, dtype=np.uint64)[:-1] << np.uint64(64 - CELLS.bit_length() + 1))
+    return np.minimum(np.diff(at, append=len(f)), 65535).astype(np.uint16)
 
-    sigs are the set's signatures, null where a row before it in the task has the same set, or where doc_id is null.
+
+def sign(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """Messages of blocks of documents: what each row is (ROWS), and to each bucket the block's signatures and whose they are.
+
+    buckets is a power of two. Equal sets of one task give their signatures once.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows, size = set(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids, sizes, classes, sigs = zip(*rows, strict=True) if rows else ([],) * 4
-            ends = np.cumsum([0, *(0 if x is None else len(x) for x in sigs)])
-            offsets = pa.array(ends, pa.int32(), mask=np.array([x is None for x in sigs] + [False]))
-            values = np.concatenate([*(x for x in sigs if x is not None), np.zeros(0, np.uint64)])
-            lists = pa.ListArray.from_arrays(offsets, pa.array(_signed(values)))
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists], schema=schema)
+        task, number, seen = TaskContext.get().partitionId(), 0, set()
+        rows, profiles, sigs, size = [], [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size
+            block = (task << 24) + number
+            doc_id, has_id, n, c, no = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+            yield _messages([(-1 - block, ROWS, block, pack(doc_id, has_id.astype(np.int8), n, c, no.astype(np.int32), np.concatenate([*profiles, np.zeros(0, np.uint16)])))])
+            all_, whose = np.concatenate([*sigs, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(x) for x in sigs])
+            by = np.argsort(all_)
+            all_, whose = all_[by], whose[by]
+            ends = np.searchsorted(all_ >> shift if buckets > 1 else np.zeros(len(all_), np.uint64), np.arange(buckets + 1, dtype=np.uint64))
+            for i in range(0, buckets, 64):
+                out = [(to, SIGNATURES, block, pack(np.diff(all_[ends[to] : ends[to + 1]], prepend=np.uint64(0)), whose[ends[to] : ends[to + 1]])) for to in range(i, min(buckets, i + 64)) if ends[to + 1] > ends[to]]
+                if out:
+                    yield _messages(out)
+            rows.clear(), profiles.clear(), sigs.clear()
+            number, size = number + 1, 0
 
         for batch in batches:
             for doc_id, f in zip(batch.column(0).to_pylist(), shingle_sets(as_bytes(batch.column(1)), k), strict=True):
-                c = set_hash(f) if len(f) else None
-                sigs = None
-                if c is not None and doc_id is not None and c not in seen:
+                c, no = set_hash(f) if len(f) else 0, -1
+                if len(f) and doc_id is not None and c not in seen:
                     seen.add(c)
-                    sigs = signatures(f, percent)
-                    size += len(sigs)
-                rows.append((doc_id, len(f), c, sigs))
-                if size >= FLUSH or len(rows) >= 10_000:
-                    yield flush()
-                    size = 0
-        yield flush()
+                    no = len(sigs)
+                    sigs.append(signatures(f, percent))
+                    profiles.append(_profile(f))
+                    size += len(sigs[-1])
+                rows.append((doc_id or 0, doc_id is not None, len(f), c, no))
+                if size >= BLOCK or len(rows) >= BLOCK // 10:
+                    yield from close()
+        if rows:
+            yield from close()
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "to long, kind int, block long, data binary")
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _MESSAGE, strict=True)], schema=pa.schema(_MESSAGE))
+
+
+def meet(messages: DataFrame) -> DataFrame:
+    """kind, block, sig, no, data: each signature that several messages to its bucket hold, and whose it is; ROWS as they are."""
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("sig", pa.int64()), ("no", pa.int32()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, got = None, []
+
+        def close() -> pa.RecordBatch:
+            sig, no = (np.concatenate(x) for x in zip(*[(np.cumsum(d, dtype=np.uint64), w) for _, (d, w) in got], strict=True))
+            block = np.repeat(np.array([b for b, _ in got]), [len(w) for _, (_, w) in got])
+            got.clear()
+            by = np.argsort(sig)
+            x = sig[by]
+            like = x[1:] == x[:-1]
+            by = by[np.concatenate([like, [False]]) | np.concatenate([[False], like])]
+            n = len(by)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, SIGNATURES, np.int32)), pa.array(block[by]), pa.array(_signed(sig[by])), pa.array(no[by].astype(np.int32)), pa.nulls(n, pa.binary())], schema=schema)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                to, kind, block, data = (batch.column(j)[i].as_py() for j in range(4))
+                if kind == ROWS:
+                    yield pa.RecordBatch.from_pylist([{"kind": ROWS, "block": block, "data": data}], schema=schema)
+                    continue
+                if got and to != current:
+                    yield close()
+                current = to
+                got.append((block, unpack(data)))
+        if got:
+            yield close()
+
+    return messages.repartition("to").sortWithinPartitions("to").mapInArrow(run, "kind int, block long, sig long, no int, data binary")
+
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_id long, sigs array<long>")
+def signed_rows(met: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id (a hash of the set; null without shingles), block, no, profile; a row per row of docs.
+
+    block, no and profile are null but for the row that gave its class's signatures.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("block", pa.int64()), ("no", pa.int32()), ("profile", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                doc_id, has_id, n, c, no, profiles = unpack(data)
+                for i in range(0, len(n), 20_000):
+                    part = slice(i, i + 20_000)
+                    mine = no[part]
+                    profile = [profiles[j * CELLS : (j + 1) * CELLS].tobytes() if j >= 0 else None for j in mine]
+                    blocks = pa.array(np.full(len(mine), block), mask=mine < 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_id[part], mask=has_id[part] == 0), pa.array(n[part]), pa.array(c[part], mask=n[part] == 0), blocks, pa.array(mine, mask=mine < 0), pa.array(profile, pa.binary())], schema=schema)
+
+    return met.where(F.col("kind") == ROWS).select("block", "data").mapInArrow(run, "doc_id long, n_shingles long, class_id long, block long, no int, profile binary")
 
 
 def class_sets(docs: DataFrame, k: int) -> DataFrame:
-    """class_id, f (the sorted shingles) of each row of docs."""
+    """class_id, f (the sorted shingles) of the rows of docs; equal sets of one task give one."""
     schema = pa.schema([("class_id", pa.int64()), ("f", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for i in range(0, len(texts), 256):
-                sets = [*shingle_sets(texts[i : i + 256], k)]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(f) for f in sets], pa.int64()), lists], schema=schema)
+                found = [(c, f) for f in shingle_sets(texts[i : i + 256], k) if (c := set_hash(f)) not in seen and not seen.add(c)]
+                ends = np.cumsum([0, *(len(f) for _, f in found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([*(f for _, f in found), np.zeros(0, np.uint64)]))))
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists], schema=schema)
 
     return docs.select("text").mapInArrow(run, "class_id long, f array<long>")
 
@@ -230,7 +313,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(sets.select(F.col("class_id").alias("b"), F.col("f").alias("g")), "b")
     both = left.join(sets.select(F.col("class_id").alias("a"), "f"), "a")
     inter = F.size(F.array_intersect("f", "g"))
-    return both.where(inter * 100 >= (F.size("f") + F.size("g") - inter) * percent).select("a", "b")
+    return both.where(inter * 100 >= (F.size("f") + F.size("g") - inter) * percent).select("a", "b").distinct()
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose profiles don't already differ in more than similar sets of their sizes do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32) for i in (4, 5))
+                both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                near = np.abs(p - q).sum(1) * (100 + percent) <= both * (100 - percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    side = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("profile").alias(f"profile_{x}"))
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
 
 
 def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,18 +374,23 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     doc_id have a null component and link with nothing. Rows of one doc_id with different texts are one document, which links
     where any of them does; repeated rows link as equals. No documents give no rows; extra columns are ignored.
 
-    Equal sets are one class from the first step on, so copies cost nothing more. In a bucket of sets that share a signature
+    Equal sets are one class from the first step on, so copies cost nothing more. Signatures are sent in blocks to where equal
+    ones meet, and only those that several sets share go on. Pairs are left out without a look at their sets where their
+    profiles already differ too much. In a bucket of sets that share a signature
     all are verified against the one that shares most with the rest of them (a star, not all pairs). Only where a bucket still
     has sets of several components, pairs of different ones are verified: in a small bucket each such pair, in a crowd those
     that share enough of what sets them apart from its center (see _crowd_pairs). So no link can be missed.
     """
-    signed = materialize(signed_documents(docs, k, percent), "signed")
-    base = signed.drop("sigs")
-    every = signed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "class_id", F.col("n_shingles").cast("int").alias("n_shingles"))
-    # a signature that many sets share is one row a task before the first shuffle, and its rows can be split in the second
-    met = every.groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"))
-    shared = materialize(met.where("x < y").select("sig"), "shared")
-    buckets = materialize(every.join(shared, "sig").distinct(), "buckets")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    met = materialize(meet(sign(docs, k, percent, 1 << max(0, (size // BUCKET_BYTES).bit_length()))), "met")
+    base = materialize(signed_rows(met), "rows")
+    given = base.where("no is not null")
+    classes = materialize(given.groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("profile").alias("profile")), "classes")
+    rows = met.where(F.col("kind") == SIGNATURES).join(given.select("block", "no", "class_id", F.col("n_shingles").cast("int").alias("n_shingles")), ["block", "no"])
+    rows = materialize(rows.select("sig", "class_id", "n_shingles").distinct(), "signatures")
+    # copies in several blocks are one class
+    shared = rows.groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("sig")
+    buckets = materialize(rows.join(shared, "sig"), "buckets")
 
     # the center of a bucket: the set that has the largest buckets on the whole
     width = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("width"))
@@ -297,13 +401,19 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     stars = ranked.join(center, "sig").where((F.col("class_id") != F.col("a")) & _close(F.col("n_shingles"), F.col("n_a"), percent))
     stars = materialize(stars.select("a", F.col("class_id").alias("b")).distinct(), "stars")
 
-    wanted = materialize(buckets.select("class_id").distinct(), "wanted")
-    named = base.where("class_id is not null and doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"))
-    named = materialize(by_keys(named, wanted, "class_id", "left_semi").select("doc_id").distinct(), "named")
-    texts = by_keys(docs.selectExpr("cast(doc_id as long) doc_id", "text"), named, "doc_id", "left_semi")
-    sets = materialize(by_keys(class_sets(texts, k).dropDuplicates(["class_id"]), wanted, "class_id", "left_semi"), "sets")
+    named = materialize(base.where("class_id is not null and doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")), "named")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted.distinct(), "wanted")
+        ids = materialize(by_keys(named, wanted, "class_id", "left_semi").select("doc_id").distinct(), "ids")
+        texts = by_keys(docs.selectExpr("cast(doc_id as long) doc_id", "text"), ids, "doc_id", "left_semi")
+        return materialize(by_keys(class_sets(texts, k), wanted, "class_id", "left_semi"), "sets")
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("class_id")).union(pairs.select("b"))
 
-    edges = materialize(_verified(stars, sets, percent), "links")
+    near = materialize(_possible(stars, classes, percent), "near")
+    edges = materialize(_verified(near, sets_of(of_pairs(near)), percent), "links")
     labels = components(edges)
 
     labelled = buckets.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -325,11 +435,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     many = many.where("class_id <> center").select("center", "center_label", "class_id", "n_shingles", "label").distinct()
     many = materialize(many, "crowds")
     if not many.isEmpty():
-        rest = rest.union(_crowd_pairs(many, sets, percent))
+        rest = rest.union(_crowd_pairs(many, sets_of(many.select("class_id").union(many.select("center"))), percent))
     done = stars.union(stars.select("b", "a"))
-    rest = materialize(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(_possible(rest.distinct().join(done, ["a", "b"], "left_anti"), classes, percent), "rest")
     if not rest.isEmpty():
-        edges = materialize(edges.union(_verified(rest, sets, percent)), "links")
+        edges = materialize(edges.union(_verified(rest, sets_of(of_pairs(rest)), percent)), "links")
         labels = components(edges)
 
     links = edges.union(edges.select("b", "a")).distinct().groupBy(F.col("a").alias("class_id")).agg(F.count(F.lit(1)).alias("n_links"))
