@@ -33,6 +33,8 @@ DENSE = 85
 #: Signatures of a block of documents, and bytes of text for each bucket of signatures.
 BLOCK = 1_500_000
 BUCKET_BYTES = 8 << 20
+#: Most partitions that a set gives to spare.
+MOST_SPARE = 12
 #: Numbers of a set's profile; a power of two.
 CELLS = 64
 #: In a bucket of more sets, those not yet connected are joined by what sets them apart from its center.
@@ -59,6 +61,12 @@ def most_apart(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def spare(size: int) -> int:
+    """Good partitions that a set gives beyond those that one shared signature needs: similar sets of at least this size share
+    spare + 1 signatures, so as many buckets as spare can be passed over without losing a link."""
+    return min(MOST_SPARE, size // 24)
+
+
 def _good(size: int, n1: int, n2: int, keep: int) -> tuple[float, float]:
     """Mean and deviation of the partitions of a set of this size that leave none of their subsets empty, by chance."""
     gone = math.exp(-size / (n1 * n2))
@@ -86,10 +94,10 @@ def bands(percent: int) -> tuple[Band, ...]:
             out.append(Band(low, high, 1, differ + 2, 2))
         else:
             n2 = 3 if percent >= DENSE else 2
-            n1 = base = differ // 2 + 1
+            n1 = base = differ // 2 + 1 + spare(high)
             while n1 < 2 * base:
                 sizes = (high, max(1, high * percent // 100))
-                if all(m - 4 * dev >= most_apart(x, min(high, x * 100 // percent), percent) // 2 + 1 for x in sizes for m, dev in [_good(x, n1, n2, n2 - 1)]):
+                if all(m - 4 * dev >= most_apart(x, min(high, x * 100 // percent), percent) // 2 + 1 + spare(x) for x in sizes for m, dev in [_good(x, n1, n2, n2 - 1)]):
                     break
                 n1 += max(1, n1 // 50)
             out.append(Band(low, high, n1, n2, n2 - 1))
@@ -115,10 +123,10 @@ def _sums(part: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 def signatures(f: np.ndarray, percent: int) -> np.ndarray:
     """PartEnum signatures of a sorted set of 64-bit shingles, for its own band and the next one that a similar set may be in.
 
-    A set that differs from each similar one in at most d shingles gives the subsets of its first d // 2 + 1 good partitions,
-    those none of whose subsets it leaves empty, and of all that lie between. Of two similar sets take the one whose prefix
-    ends first: one of its good partitions holds at most one difference, so one of its subsets is the same in both, holds
-    something, and lies in the other's prefix too. A set with too few good partitions gives all subsets, the empty ones as
+    A set that differs from each similar one in at most d shingles gives the subsets of its first d // 2 + 1 + spare good
+    partitions, those none of whose subsets it leaves empty, and of all that lie between. Of two similar sets take the one
+    whose prefix ends first: of its good partitions spare + 1 hold at most one difference each, so a subset of each is the
+    same in both, holds something, and lies in the other's prefix too. A set with too few good partitions gives all subsets, the empty ones as
     well: if both are such, an empty one may be all that they share.
     """
     size, found = len(f), []
@@ -139,7 +147,7 @@ def signatures(f: np.ndarray, percent: int) -> np.ndarray:
         empty = np.bincount(part, minlength=parts).reshape(band.n1, band.n2) == 0
         none = np.stack([empty[:, x].all(1) for x in subsets], 1)
         good = np.cumsum(~none.any(1))
-        needed = 1 if band.n1 == 1 else d // 2 + 1
+        needed = 1 if band.n1 == 1 else d // 2 + 1 + spare(size)
         enough = good[-1] >= needed
         n = int(np.searchsorted(good, needed)) + 1 if enough else band.n1
         held = _sums(part, f, parts).reshape(band.n1, band.n2)[:n]
@@ -420,7 +428,14 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     labelled = materialize(labelled.select("sig", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label")), "labelled")
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("sets")).where("x < y").select("sig", "sets")
     open_ = materialize(labelled.join(mixed, "sig"), "open")
-    few = open_.where(F.col("sets") <= CROWD)
+    # similar sets share spare + 1 buckets, so those in fewer crowds than that meet outside of crowds too
+    n = F.floor(F.col("n_shingles") * percent / 100)
+    heavy = open_.where(F.col("sets") > CROWD).groupBy("class_id", "n_shingles").agg(F.count(F.lit(1)).alias("crowds"))
+    heavy = materialize(heavy.where(F.col("crowds") > F.least(F.lit(MOST_SPARE), F.floor(n / 24))).select("class_id"), "heavy")
+    crowds = by_keys(open_.where(F.col("sets") > CROWD), heavy, "class_id", "left_semi").drop("sets")
+    left = crowds.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("sets")).where("x < y").select("sig", "sets")
+    crowds = materialize(crowds.join(left, "sig"), "crowded").select(*open_.columns)
+    few = open_.where(F.col("sets") <= CROWD).unionByName(crowds.where(F.col("sets") <= CROWD))
     p, q = few.alias("p"), few.alias("q")
     apart = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent)
     rest = p.join(q, apart).select(F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b"))
@@ -428,7 +443,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     of = labelled.select("class_id", "label").distinct().join(fame, "class_id").groupBy("label").agg(F.max(F.struct("fame", "class_id")).alias("top"))
     of = of.select(F.col("label").alias("center_label"), F.col("top.class_id").alias("center"))
     own = labelled.select(F.col("class_id").alias("a"), F.col("label").alias("center_label")).distinct()
-    crowds = open_.where(F.col("sets") > CROWD)
+    crowds = crowds.where(F.col("sets") > CROWD)
     heads = crowds.select("sig").distinct().join(center.select("sig", "a"), "sig").join(own, "a").join(of, "center_label")
     heads = materialize(heads.select("sig", "center", "center_label"), "heads")  # a row for each crowd
     many = crowds.join(heads, "sig")
