@@ -20,11 +20,13 @@ from tabspark.sources.files import read_bytes
 from tabspark.sources.registry import convert, load
 from tabspark.sources.text import format_row
 
+# A condition's operators, in the order in which they are looked for.
 OPERATORS = ("<=", ">=", "==", "!=", "<", ">", "contains", "starts", "regex")
 
 
 def filter_rows(q: Query, condition: str) -> Query:
-    """COLUMN OPERATOR VALUE. < > <= >= take cells that aren't numbers as 0; == and != compare text."""
+    """COLUMN OPERATOR VALUE. By a number < > <= >= compare numbers, cells that are none as 0; by anything else they compare
+    text, as == and != always do."""
     for op in OPERATORS:
         left, found, right = condition.partition(f" {op} " if op.isalpha() else op)
         if found:
@@ -42,7 +44,8 @@ def filter_rows(q: Query, condition: str) -> Query:
     if op == "regex":
         re.compile(value)
         return q.where(q.text(name).rlike(value))
-    n, v = F.coalesce(S.num_trim(*q.cell(name)), F.lit(0.0)), S.py_num(value) or 0.0
+    v = S.py_num(value)
+    n, v = (q.text(name), value) if v is None else (F.coalesce(S.num_trim(*q.cell(name)), F.lit(0.0)), v)
     return q.where({"<": n < v, ">": n > v, "<=": n <= v, ">=": n >= v}[op])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,9 +138,12 @@ def _one_sided(left: Query, right: Query, key: Key, how: str) -> Query:
 
 
 def concat(*tables: Query) -> Query:
-    """All rows under the first table's headers: columns that it lacks are dropped, those that others lack are empty."""
+    """All rows under the first table's headers: columns that it lacks are dropped, those that others lack are empty.
+
+    No tables give an empty one, of the active session.
+    """
     if not tables:
-        raise ValueError("nothing to concatenate; use Table.empty(spark)")
+        return Query.from_rows(SparkSession.active(), [], [])
     tables = tuple(t.settled() for t in tables)
     first = tables[0]
     if err := next((t.err for t in tables if t.err), None):

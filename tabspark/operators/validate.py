@@ -35,19 +35,22 @@ def date_pattern(layout: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """violated: whether a cell's text breaks the rule; error: what to say of it."""
+    """violated: whether a cell's text breaks the rule; error: what to say of it. message: the error of a cell's text (null:
+    none), in place of both. number: whether a value of a numeric column breaks it, where that needs no text."""
 
     name: str
     violated: Callable[[Column], Column]
     error: str
+    message: Callable[[Column], Column] | None = None
+    number: Callable[[Column], Column] | None = None
 
 
-def _typed(kind: str, fits: Callable[[Column], Column]) -> Rule:
-    return Rule(f"type:{kind}", lambda c: (c != "") & ~fits(c), f"not a valid {kind}")
+def _typed(kind: str, fits: Callable[[Column], Column], number: Callable[[Column], Column] | None = None) -> Rule:
+    return Rule(f"type:{kind}", lambda c: (c != "") & ~fits(c), f"not a valid {kind}", number=number)
 
 
 def required() -> Rule:
-    return Rule("required", lambda c: S.trim(c) == "", "value is required")
+    return Rule("required", lambda c: S.trim(c) == "", "value is required", number=lambda n: n.isNull())
 
 
 def integer() -> Rule:
@@ -55,7 +58,7 @@ def integer() -> Rule:
 
 
 def floating() -> Rule:
-    return _typed("float", lambda c: S.num(c).isNotNull())
+    return _typed("float", lambda c: S.num(c).isNotNull(), lambda n: F.lit(False))
 
 
 def boolean() -> Rule:
@@ -78,16 +81,16 @@ def regex(pattern: str) -> Rule:
 def in_range(least: float | None = None, most: float | None = None, name: str = "range") -> Rule:
     """Bounds included; text that is no number is a violation, NaN isn't."""
 
+    def outside(n: Column) -> Column:
+        low = F.lit(False) if least is None else n < float(least)
+        high = F.lit(False) if most is None else n > float(most)
+        return ~F.isnan(n) & (low | high)
+
     def violated(c: Column) -> Column:
         n = S.num(c)
-        out = n.isNull()
-        if least is not None:
-            out = out | (~F.isnan(n) & (n < float(least)))
-        if most is not None:
-            out = out | (~F.isnan(n) & (n > float(most)))
-        return (c != "") & out
+        return (c != "") & (n.isNull() | outside(n))
 
-    return Rule(name, violated, f"not a number from {least} to {most}")
+    return Rule(name, violated, f"not a number from {least} to {most}", number=lambda n: n.isNotNull() & outside(n.cast("double")))
 
 
 def minimum(v: float) -> Rule:
@@ -111,19 +114,21 @@ def one_of(*values: str) -> Rule:
 
 
 def custom(name: str, fn: Callable[[str], str | None]) -> Rule:
-    """fn sees each cell, empty ones too, and returns what is wrong with it, if anything (or raises ValueError)."""
+    """fn sees each cell, empty ones too, and returns what is wrong with it, if anything (or raises ValueError); that is the
+    violation's error."""
 
-    def check(v: str) -> bool:
+    def check(v: str) -> str | None:
         try:
-            return bool(fn(v))
-        except ValueError:
-            return True
+            found = fn(v)
+        except ValueError as e:
+            found = str(e) or f"fails {name}"
+        return (found if isinstance(found, str) else f"fails {name}") if found else None
 
-    @F.pandas_udf(T.BooleanType())
-    def violated(s: pd.Series) -> pd.Series:
-        return s.map(check).astype(bool)
+    @F.pandas_udf(T.StringType())
+    def message(s: pd.Series) -> pd.Series:
+        return s.map(check)
 
-    return Rule(name, violated, f"fails {name}")
+    return Rule(name, lambda c: message(c).isNotNull(), f"fails {name}", message)
 
 
 class Schema:
@@ -157,11 +162,16 @@ class Schema:
             self.column(c["name"], *rules)
         return self
 
-    def violations(self, df: DataFrame, cell: Callable[[str], Column], keep: Iterable[str] = ()) -> DataFrame:
-        """field, value, rule, error (and the columns kept) of every violation; df may be a stream."""
+    def violations(self, df: DataFrame, cell: Callable[[str], Column], keep: Iterable[str] = (), number: Callable[[str], Column | None] = lambda name: None) -> DataFrame:
+        """field, value, rule, error (and the columns kept) of every violation; df may be a stream. number: a numeric column."""
         if not self.rules:
             raise TabError("the schema has no rules")
-        found = [F.when(r.violated(cell(name)), F.struct(F.lit(i).alias("n"), F.lit(name).alias("field"), cell(name).alias("value"), F.lit(r.name).alias("rule"), F.lit(r.error).alias("error"))) for i, (name, r) in enumerate(self.rules)]
+        found = []
+        for i, (name, r) in enumerate(self.rules):
+            n, text = number(name), cell(name)
+            hit = r.violated(text) if n is None or r.number is None else r.number(n)
+            error = F.lit(r.error) if r.message is None else r.message(text)
+            found.append(F.when(hit, F.struct(F.lit(i).alias("n"), F.lit(name).alias("field"), text.alias("value"), F.lit(r.name).alias("rule"), error.alias("error"))))
         return df.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("v")).select(*keep, "v.*")
 
     def validate(self, q: Query) -> DataFrame:
@@ -169,7 +179,8 @@ class Schema:
         if q.err:
             raise q.err
         q = q.settled()
-        out = self.violations(q.df, q.text, [ORDER])
+        number = lambda name: q.cell(name)[0] if S.is_number(q.cell(name)[1]) else None
+        out = self.violations(q.df, q.text, [ORDER], number)
         return out.withColumnRenamed(ORDER, "row")
 
     def validate_list(self, q: Query) -> list[FieldError]:

@@ -62,9 +62,9 @@ def select_rename(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").rename("o_orderkey", "k").to_df()
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
 def sql_projection_alias(spark, d):
-    return sql.run(table(spark, d, "orders"), "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE o_orderkey < 500").to_df()
+    return sql.run(table(spark, d, "orders"), "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders").to_df()
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
@@ -121,9 +121,9 @@ def sql_bool_expr(spark, d):
     return sql.run(table(spark, d, "orders"), "SELECT o_orderkey FROM t WHERE (o_orderstatus = 'F' OR o_orderstatus = 'O') AND NOT o_totalprice < 100000 AND o_orderpriority <> '5-LOW'").to_df()
 
 
-@query("SELECT c_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, 'y' AS seen FROM orders WHERE o_orderkey % 20 = 0) o ON c_custkey = o_custkey WHERE trim(coalesce(seen, '')) = ''")
+@query("SELECT c_custkey FROM customer LEFT JOIN (SELECT DISTINCT o_custkey, 'y' AS seen FROM orders WHERE o_orderpriority = '1-URGENT') o ON c_custkey = o_custkey WHERE trim(coalesce(seen, '')) = ''")
 def sql_is_null(spark, d):
-    seen = table(spark, d, "orders").where(F.col("o_orderkey") % 20 == 0).distinct("o_custkey").select("o_custkey").rename("o_custkey", "c_custkey").with_column("seen", F.lit("y"))
+    seen = table(spark, d, "orders").where_eq("o_orderpriority", "1-URGENT").distinct("o_custkey").select("o_custkey").rename("o_custkey", "c_custkey").with_column("seen", F.lit("y"))
     both = merge.left_join(table(spark, d, "customer"), seen, merge.on("c_custkey"))
     return sql.run(both, "SELECT c_custkey FROM t WHERE seen IS NULL").to_df()
 
@@ -144,11 +144,11 @@ def filter_text(spark, d):
 
 def _named(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_name").rename("c_custkey", "custkey")
-    orders = table(spark, d, "orders").where(F.col("o_orderkey") % 7 == 0).select("o_custkey", "o_orderkey").rename("o_custkey", "custkey")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey").rename("o_custkey", "custkey")
     return customers, orders
 
 
-_JOIN = "SELECT {key} AS custkey, coalesce(c_name, '') AS c_name, o_orderkey FROM customer {how} JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) o ON c_custkey = o_custkey"
+_JOIN = "SELECT {key} AS custkey, coalesce(c_name, '') AS c_name, o_orderkey FROM customer {how} JOIN orders ON c_custkey = o_custkey"
 
 
 @query(_JOIN.format(key="c_custkey", how="INNER"))
@@ -190,15 +190,15 @@ def join_coalesce_shared(spark, d):
     return merge.inner_join(half, part.select("p_partkey", "p_name", "p_size"), merge.on("p_partkey")).to_df()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def semi_join(spark, d):
-    orders = table(spark, d, "orders").where(F.col("o_orderkey") % 20 == 0).select("o_custkey").rename("o_custkey", "c_custkey")
+    orders = table(spark, d, "orders").select("o_custkey").rename("o_custkey", "c_custkey")
     return merge.semi_join(table(spark, d, "customer").select("c_custkey"), orders, merge.on("c_custkey")).to_df()
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_join(spark, d):
-    orders = table(spark, d, "orders").where(F.col("o_orderkey") % 20 == 0).select("o_custkey").rename("o_custkey", "c_custkey")
+    orders = table(spark, d, "orders").where_eq("o_orderpriority", "1-URGENT").select("o_custkey").rename("o_custkey", "c_custkey")
     return merge.anti_join(table(spark, d, "customer").select("c_custkey"), orders, merge.on("c_custkey")).to_df()
 
 
@@ -252,23 +252,33 @@ def group_cube(spark, d):
     return table(spark, d, "orders").to_df().cube("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(sum(o_orderkey) AS DOUBLE) AS total FROM orders WHERE o_orderkey < 200")
+@query("SELECT CAST(sum(o_orderkey) AS DOUBLE) AS total FROM orders")
 def reduce_fold(spark, d):
-    total = table(spark, d, "orders", "o_orderkey").where(F.col("o_orderkey") < 200).reduce(0.0, lambda a, r: a + r.float("o_orderkey"))
+    total = table(spark, d, "orders", "o_orderkey").reduce(0.0, lambda a, r: a + r.float("o_orderkey"))
     return spark.createDataFrame([(total,)], "total double")
 
 
+def _kind(c: str) -> str:
+    """SQL for the type of a column's texts."""
+    t = f"nullif(CAST({c} AS VARCHAR), '')"
+    tests = (("int", f"regexp_full_match({t}, '[+-]?[0-9]+') AND TRY_CAST({t} AS BIGINT) IS NOT NULL"), ("float", f"TRY_CAST({t} AS DOUBLE) IS NOT NULL"), ("bool", f"lower({t}) IN ('true', 'false')"))
+    return "CASE " + " ".join(f"WHEN coalesce(bool_and({test}) FILTER ({t} IS NOT NULL), true) THEN '{kind}'" for kind, test in tests) + " ELSE 'string' END"
+
+
+_PART = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
 @query(
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{t}' AS \"type\", (SELECT count(*) FROM part) AS rows, CAST(0 AS BIGINT) AS empty, (SELECT count(DISTINCT {c}) FROM part) AS \"distinct\""
-        for c, t in (("p_partkey", "int"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "float"))
+        f"SELECT '{c}' AS \"column\", {_kind(c)} AS \"type\", count(*) AS rows, count(*) FILTER (coalesce(CAST({c} AS VARCHAR), '') = '') AS empty, count(DISTINCT nullif(CAST({c} AS VARCHAR), '')) AS \"distinct\" FROM part"
+        for c in _PART
     )
 )
 def col_stats(spark, d):
     return infer.stats(table(spark, d, "part"))
 
 
-@query("SELECT * FROM (VALUES ('p_partkey', 'int'), ('p_name', 'string'), ('p_brand', 'string'), ('p_type', 'string'), ('p_size', 'int'), ('p_retailprice', 'float')) t(name, kind)")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, {_kind(c)} AS kind FROM part" for c in _PART))
 def infer_types(spark, d):
     kinds = infer.infer_types(table(spark, d, "part").as_text(), None)
     return spark.createDataFrame(list(kinds.items()), "name string, kind string")
@@ -409,6 +419,43 @@ def csv_native_scan(spark, d):
     return q.rename("column1", "o_orderkey").rename("column2", "o_orderpriority").to_df()
 
 
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag, reader FROM lineitem, (VALUES ('strict'), ('native')) t(reader)")
+def csv_header_parts(spark, d):
+    path = f"{folder(spark)}/lineitem"
+    text.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), path)
+    both = [text.open_csv(spark, path, Options(header=True), native=native).to_df().withColumn("reader", F.lit(name)) for name, native in (("strict", False), ("native", True))]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT CASE WHEN r_regionkey % 2 = 0 THEN concat(r_name, chr(10), 'x') ELSE r_name END AS r_name FROM region UNION ALL SELECT p_name FROM part")
+def csv_late_line_end(spark, d):
+    """Quoted line ends behind the first bytes of a file, read natively."""
+    path = f"{folder(spark)}/late"
+    parts = table(spark, d, "part", "p_partkey").select("p_name").rename("p_name", "r_name")
+    regions = table(spark, d, "region", "r_regionkey").with_column("r_name", F.when(F.col("r_regionkey") % 2 == 0, F.concat("r_name", F.lit("\nx"))).otherwise(F.col("r_name"))).select("r_name")
+    text.write_csv(merge.concat(parts, regions), path)
+    return text.open_csv(spark, path, Options(delimiter=",", header=True), native=True).to_df()
+
+
+@query("SELECT DISTINCT c_nationkey AS nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def except_rows(spark, d):
+    c, s = table(spark, d, "customer").select("c_nationkey").rename("c_nationkey", "nationkey"), table(spark, d, "supplier").where(F.col("s_acctbal") > 5000).select("s_nationkey").rename("s_nationkey", "nationkey")
+    return merge.except_(c, s).to_df()
+
+
+@query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS high FROM orders WHERE o_orderstatus = 'F'")
+def sql_agg_global(spark, d):
+    out = sql.run(table(spark, d, "orders"), "SELECT COUNT(*) AS n, SUM(o_totalprice) AS total, MAX(o_totalprice) AS high FROM t WHERE o_orderstatus = 'F'").to_df()
+    return out.withColumn("total", F.round("total", 2))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_name < 'Customer#5' AND c_acctbal >= 100")
+def filter_text_order(spark, d):
+    from tabspark.cli import filter_rows
+
+    return filter_rows(filter_rows(table(spark, d, "customer"), "c_name < Customer#5"), "c_acctbal >= 100").select("c_custkey").to_df()
+
+
 @query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
 def gzip_roundtrip(spark, d):
     path = f"{folder(spark)}/region.csv.gz"

@@ -368,7 +368,8 @@ def render_csv(q: Query, options: Options | None = None, header: bool = True) ->
 
 
 def write_csv(q: Query, path: str, options: Options | None = None, header: bool = True, compression: str | None = None) -> None:
-    """A folder of part files, written in parallel and in order: each row is formatted by column expressions.
+    """A folder of part files, written in parallel and in order: each row is formatted by column expressions. Every part has
+    the headers; a table without rows is one part with nothing else.
 
     gzip, bzip2 and plain are Spark's own; zstd has no encoder there and is refused here (see compress.save for one file).
     """
@@ -385,11 +386,15 @@ def write_csv(q: Query, path: str, options: Options | None = None, header: bool
         cells.append(F.when(special, F.concat(F.lit(quote), F.replace(t, F.lit(quote), F.lit(quote * 2)), F.lit(quote))).otherwise(t))
     line = F.concat_ws(d, *cells) if cells else F.lit("")
     body = q.ordered().select(line.alias("value"))
+    if header:  # each part that has rows begins with the headers, as readers of many files expect
+        head = F.lit(("\ufeff" if o.bom else "") + format_row(q.headers, d, quote))
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        body = body.select(F.explode(F.when(first, F.array(head, "value")).otherwise(F.array("value"))).alias("value"))
     writer = body.write.mode("overwrite").option("lineSep", "\r\n" if o.crlf else "\n")
     if compression:
         writer = writer.option("compression", compression)
     writer.text(path)
-    if header:
+    if header and q.df.isEmpty():
         from tabspark.sources.files import write_bytes
 
         data = encode(format_row(q.headers, d, quote) + ("\r\n" if o.crlf else "\n"), o.encoding or "utf-8", o.bom)

@@ -174,7 +174,7 @@ def test_validation(spark):
     lengths = Query.from_rows(spark, [["ab"], ["abcdefg"], ["abcdefghijk"], [""]], ["name"])
     assert [e.row for e in V.Schema().column("name", V.min_len(3), V.max_len(10)).validate_list(lengths)] == [0, 2, 3]
     custom = V.Schema().column("name", V.custom("even", lambda v: "odd" if len(v) % 2 else None))
-    assert [e.row for e in custom.validate_list(lengths)] == [1, 2]
+    assert [(e.row, e.error) for e in custom.validate_list(lengths)] == [(1, "odd"), (2, "odd")]
     parsed = V.Schema.from_json('{"columns": [{"name": "age", "type": "int", "min": 0, "max": 100, "required": true}]}')
     assert [(e.row, e.rule) for e in parsed.validate_list(q)] == [(1, "range"), (2, "range")]
     assert V.date_pattern("2006-01-02T15:04:05") == "yyyy-MM-dd'T'HH:mm:ss"

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tabspark import streaming
 from tabspark.cli import main
 from tabspark.errors import CellError, FileClosed, InvalidReference, MissingColumn, NoHeader, OutOfRange, ParseError, TabError
-from tabspark.operators import cells, records
+from tabspark.operators import cells, merge, records
 from tabspark.operators import validate as V
 from tabspark.operators.query import Query
 from tabspark.sources import jsonx, registry, sheets, text
@@ -99,6 +99,23 @@ def test_csv_on_spark(spark, tmp_path):
     assert text.open_text(spark, "x;y\n1;2\n", Options(header=True)).to_records() == [{"x": "1", "y": "2"}]
 
 
+@pytest.mark.parametrize("rows, parts", [(1000, 4), (1000, 1), (3, 4), (0, 2)])
+def test_headers_of_many_parts(spark, tmp_path, rows, parts):
+    df = spark.range(0, rows, 1, parts).selectExpr("cast(id as string) id", "concat('n', id) name")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_csv(Query.from_df(df), str(tmp_path / "d"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for native in (False, True):
+        q = text.open_csv(spark, str(tmp_path / "d"), Options(header=True), native=native)
+        assert q.headers == ["id", "name"] and sorted(q.to_rows()) == sorted([str(i), f"n{i}"] for i in range(rows))
+
+
+def test_concat_of_nothing(spark):
+    assert merge.concat().count() == 0 and merge.concat().headers == []
+
+
 @pytest.mark.parametrize("ext", ["gz", "bz2", "zst", "GZIP"])
 def test_compressed(spark, tmp_path, ext):
     q = Query.from_rows(spark, [[i, f"n{i}"] for i in range(100)], ["id", "name"])
@@ -282,6 +299,7 @@ def test_cli(spark, tmp_path, capsys):
     assert run("select", "-c", "age, id", p)[1].startswith("age,id\n30,1\n")
     assert run("filter", "-w", "age > 25", p)[1].count("\n") == 3
     assert run("filter", "-w", "age < 1", p) == (0, "id,name,age\n2,Bob,\n")
+    assert run("filter", "-w", "name < Bob", p)[1].splitlines()[1:] == [x for x in run("head", "-n", "99", p)[1].splitlines()[1:] if x.split(",")[1] < "Bob"]
     assert run("filter", "-w", "name starts B", p) == (0, "id,name,age\n2,Bob,\n")
     assert run("sort", "-c", "age", "-desc", p)[1].split("\n")[1] == "3,Charlie,35"
     assert "age: int, 1 empty, 2 distinct" in run("stats", p)[1]
