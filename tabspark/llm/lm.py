@@ -33,10 +33,10 @@ ADD = 0.1
 #: What the shorter history's estimate counts for.
 PRIOR = 4.0
 #: Tokens of a block, and of the parts in which texts are read side by side. Word numbers of a block fit in 21 bits.
-BLOCK_TOKENS = 1_900_000
+BLOCK_TOKENS = 900_000
 PART = 1024
 #: Bytes of text for each bucket of n-grams.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Words can't hold spaces: none is like these two.
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _BITS = np.uint64(21)
