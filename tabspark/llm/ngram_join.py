@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.llm.packing import pack, unpack
-from tabspark.llm.store import by_keys, materialize
+from tabspark.llm.store import by_keys, drop, materialize
 from tabspark.llm.text import as_bytes, mix, set_hash, shingle_sets
 
 #: No text has so many shingles.
@@ -33,8 +33,8 @@ DENSE = 85
 #: Signatures of a block of documents, and bytes of text for each bucket of signatures.
 BLOCK = 1_500_000
 BUCKET_BYTES = 8 << 20
-#: Numbers of a set's profile; a power of two.
-CELLS = 64
+#: Fewest and most numbers of a set's profile, powers of two; between them a set has two to four shingles a number.
+CELLS, MOST_CELLS = 64, 4096
 #: In a bucket of more sets, those not yet connected are joined by what sets them apart from its center.
 CROWD = 32
 _SPREAD, _HALF = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
@@ -158,10 +158,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _cells(sizes: np.ndarray) -> np.ndarray:
+    """How many numbers the profiles of sets of these sizes have: the power of two up to half the size, within bounds."""
+    return np.left_shift(1, np.clip(np.frexp(np.maximum(sizes, 1))[1] - 2, CELLS.bit_length() - 1, MOST_CELLS.bit_length() - 1)).astype(np.int64)
+
+
 def _profile(f: np.ndarray) -> np.ndarray:
-    """How many shingles of a sorted set lie in each of CELLS parts of the domain. Sets differ in no fewer than their profiles."""
-    at = np.searchsorted(f, np.arange(CELLS + 1, dtype=np.uint64)[:-1] << np.uint64(64 - CELLS.bit_length() + 1))
-    return np.minimum(np.diff(at, append=len(f)), 65535).astype(np.uint16)
+    """How many shingles of a sorted set lie in each of equal parts of the domain (255: at least so many)."""
+    cells = int(_cells(np.array([len(f)]))[0])
+    return np.minimum(np.bincount((f >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def _least_apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Shingles by which the sets of each row's profiles differ at least; 0 where a number is at its bound.
+
+    Parts of the finer profiles are added up to those of the coarser. Sets differ in no fewer shingles than such sums do.
+    """
+    full = (p == 255).any(1) | (q == 255).any(1)
+    cells = min(p.shape[1], q.shape[1])
+    p, q = (x.reshape(len(x), cells, -1).sum(2, dtype=np.int32) for x in (p, q))
+    return np.where(full, 0, np.abs(p - q).sum(1))
 
 
 def sign(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
@@ -179,7 +195,7 @@ def sign(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
             nonlocal number, size
             block = (task << 24) + number
             doc_id, has_id, n, c, no = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            yield _messages([(-1 - block, ROWS, block, pack(doc_id, has_id.astype(np.int8), n, c, no.astype(np.int32), np.concatenate([*profiles, np.zeros(0, np.uint16)])))])
+            yield _messages([(-1 - block, ROWS, block, pack(doc_id, has_id.astype(np.int8), n, c, no.astype(np.int32), np.concatenate([*profiles, np.zeros(0, np.uint8)])))])
             all_, whose = np.concatenate([*sigs, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(x) for x in sigs])
             by = np.argsort(all_)
             all_, whose = all_[by], whose[by]
@@ -258,10 +274,11 @@ def signed_rows(met: DataFrame) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc_id, has_id, n, c, no, profiles = unpack(data)
+                ends = np.concatenate([[0], np.cumsum(_cells(n[no >= 0]))])
                 for i in range(0, len(n), 20_000):
                     part = slice(i, i + 20_000)
                     mine = no[part]
-                    profile = [profiles[j * CELLS : (j + 1) * CELLS].tobytes() if j >= 0 else None for j in mine]
+                    profile = [profiles[ends[j] : ends[j + 1]].tobytes() if j >= 0 else None for j in mine]
                     blocks = pa.array(np.full(len(mine), block), mask=mine < 0)
                     yield pa.RecordBatch.from_arrays([pa.array(doc_id[part], mask=has_id[part] == 0), pa.array(n[part]), pa.array(c[part], mask=n[part] == 0), blocks, pa.array(mine, mask=mine < 0), pa.array(profile, pa.binary())], schema=schema)
 
@@ -321,11 +338,17 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int32) for i in (4, 5))
-                both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-                near = np.abs(p - q).sum(1) * (100 + percent) <= both * (100 - percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            p, q = (_cells(batch.column(i).to_numpy()) for i in (2, 3))
+            near = np.zeros(len(size), bool)
+            for kind in np.unique(p * (2 * MOST_CELLS) + q):
+                m, n = (int(x) for x in divmod(kind, 2 * MOST_CELLS))
+                alike, step = np.flatnonzero((p == m) & (q == n)), max(1, (1 << 22) // max(m, n))
+                for i in range(0, len(alike), step):
+                    these = alike[i : i + step]
+                    u, v = (np.frombuffer(b"".join(batch.column(j).take(pa.array(these)).to_pylist()), np.uint8).reshape(len(these), -1) for j in (4, 5))
+                    near[these] = _least_apart(u, v) * (100 + percent) <= size[these] * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
     side = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("profile").alias(f"profile_{x}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
@@ -389,17 +412,18 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     rows = met.where(F.col("kind") == SIGNATURES).join(given.select("block", "no", "class_id", F.col("n_shingles").cast("int").alias("n_shingles")), ["block", "no"])
     rows = materialize(rows.select("sig", "class_id", "n_shingles").distinct(), "signatures")
     # copies in several blocks are one class
-    shared = rows.groupBy("sig").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x < y").select("sig")
+    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("width")).where("width > 1")
     buckets = materialize(rows.join(shared, "sig"), "buckets")
+    drop(met, rows)
 
     # the center of a bucket: the set that has the largest buckets on the whole
-    width = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("width"))
-    fame = materialize(buckets.join(width, "sig").groupBy("class_id").agg(F.sum("width").alias("fame")), "fame")
-    ranked = materialize(buckets.join(fame, "class_id"), "ranked")
+    fame = materialize(buckets.groupBy("class_id").agg(F.sum("width").alias("fame")), "fame")
+    ranked = materialize(buckets.drop("width").join(fame, "class_id"), "ranked")
     center = ranked.groupBy("sig").agg(F.max(F.struct("fame", "class_id", "n_shingles")).alias("c"))
     center = materialize(center.select("sig", F.col("c.class_id").alias("a"), F.col("c.n_shingles").alias("n_a")), "centers")
     stars = ranked.join(center, "sig").where((F.col("class_id") != F.col("a")) & _close(F.col("n_shingles"), F.col("n_a"), percent))
     stars = materialize(stars.select("a", F.col("class_id").alias("b")).distinct(), "stars")
+    drop(ranked)
 
     named = materialize(base.where("class_id is not null and doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")), "named")
 
@@ -413,11 +437,14 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         return pairs.select(F.col("a").alias("class_id")).union(pairs.select("b"))
 
     near = materialize(_possible(stars, classes, percent), "near")
-    edges = materialize(_verified(near, sets_of(of_pairs(near)), percent), "links")
+    sets = sets_of(of_pairs(near))
+    edges = materialize(_verified(near, sets, percent), "links")
+    drop(sets)
     labels = components(edges)
 
     labelled = buckets.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     labelled = materialize(labelled.select("sig", "class_id", "n_shingles", F.coalesce("label", "class_id").alias("label")), "labelled")
+    drop(buckets)
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("sets")).where("x < y").select("sig", "sets")
     open_ = materialize(labelled.join(mixed, "sig"), "open")
     few = open_.where(F.col("sets") <= CROWD)
@@ -434,10 +461,14 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     many = crowds.join(heads, "sig")
     many = many.where("class_id <> center").select("center", "center_label", "class_id", "n_shingles", "label").distinct()
     many = materialize(many, "crowds")
+    drop(labelled)
     if not many.isEmpty():
-        rest = rest.union(_crowd_pairs(many, sets_of(many.select("class_id").union(many.select("center"))), percent))
+        sets = sets_of(many.select("class_id").union(many.select("center")))
+        rest = rest.union(_crowd_pairs(many, sets, percent))
+        drop(sets)
     done = stars.union(stars.select("b", "a"))
     rest = materialize(_possible(rest.distinct().join(done, ["a", "b"], "left_anti"), classes, percent), "rest")
+    drop(open_)
     if not rest.isEmpty():
         edges = materialize(edges.union(_verified(rest, sets_of(of_pairs(rest)), percent)), "links")
         labels = components(edges)

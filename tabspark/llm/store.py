@@ -48,6 +48,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no plan to come reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            delete(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def by_keys(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join with a materialized one-column table, broadcast only if its counted rows are few."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS

@@ -67,6 +67,20 @@ def test_partenum_loses_no_similar_pair(percent):
                 assert np.intersect1d(ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)).size, (size, len(b))
 
 
+def test_profiles_never_overstate_a_difference():
+    rng = np.random.default_rng(5)
+    for n, m in [(1, 1), (100, 120), (127, 128), (255, 256), (1000, 1100), (4000, 4200), (4000, 900), (20_000, 17_000)]:
+        f = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        g = np.unique(np.concatenate([f[: min(n, m) * 9 // 10], rng.integers(0, 1 << 64, max(1, m - min(n, m) * 9 // 10), dtype=np.uint64)]))
+        p, q = ngram_join._profile(f), ngram_join._profile(g)
+        assert [len(p), len(q)] == ngram_join._cells(np.array([len(f), len(g)])).tolist()
+        apart = len(np.setxor1d(f, g))
+        assert apart // 3 <= ngram_join._least_apart(p[None], q[None])[0] <= apart
+        assert ngram_join._least_apart(p[None], p[None])[0] == 0
+    crowded = np.arange(300, dtype=np.uint64)  # all in one part of the domain: its number is at the bound, so nothing is known
+    assert ngram_join._least_apart(ngram_join._profile(crowded)[None], ngram_join._profile(f)[None])[0] == 0
+
+
 @pytest.mark.parametrize("k, percent, crowd", [(3, 90, 32), (3, 90, 2), (5, 80, 3)])
 def test_join_agrees_with_all_pairs(spark, monkeypatch, k, percent, crowd):
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
