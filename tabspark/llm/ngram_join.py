@@ -325,10 +325,16 @@ def _close(size_a: Column, size_b: Column, percent: int) -> Column:
     return (size_a * 100 >= size_b * percent) & (size_b * 100 >= size_a * percent)
 
 
+def _only(sets: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """name, f: those of the sets that a column of another table names, so that a join moves no others."""
+    named = materialize(of.select(F.col(name).alias("class_id")).distinct(), "named")
+    return by_keys(sets, named, "class_id", "left_semi").select(F.col("class_id").alias(name), "f")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) whose sets reach the threshold. The rows of one set aren't gathered: they meet its shingles in a join."""
-    left = pairs.join(sets.select(F.col("class_id").alias("b"), F.col("f").alias("g")), "b")
-    both = left.join(sets.select(F.col("class_id").alias("a"), "f"), "a")
+    left = pairs.join(_only(sets, pairs, "b").withColumnRenamed("f", "g"), "b")
+    both = left.join(_only(sets, pairs, "a"), "a")
     inter = F.size(F.array_intersect("f", "g"))
     return both.where(inter * 100 >= (F.size("f") + F.size("g") - inter) * percent).select("a", "b").distinct()
 
@@ -367,7 +373,7 @@ def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of a set and the center.
     """
     most = lambda n: F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
-    d = many.join(sets, "class_id").join(sets.select(F.col("class_id").alias("center"), F.col("f").alias("g")), "center")
+    d = many.join(sets, "class_id").join(_only(sets, many, "center").withColumnRenamed("f", "g"), "center")
     d = d.select("center", "class_id", "n_shingles", "label", F.concat(F.array_except("f", "g"), F.array_except("g", "f")).alias("d"))
     far = F.size("d") > most(F.col("n_shingles"))
     length = F.when(far, most(F.col("n_shingles")) + 1).otherwise(F.size("d") - F.floor((F.size("d") + 2) / 2) + 1).cast("int")
@@ -408,10 +414,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     met = materialize(meet(sign(docs, k, percent, 1 << max(0, (size // BUCKET_BYTES).bit_length()))), "met")
     base = materialize(signed_rows(met), "rows")
     given = base.where("no is not null")
-    classes = materialize(given.groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("profile").alias("profile")), "classes")
-    rows = met.where(F.col("kind") == SIGNATURES).join(given.select("block", "no", "class_id", F.col("n_shingles").cast("int").alias("n_shingles")), ["block", "no"])
-    rows = materialize(rows.select("sig", "class_id", "n_shingles").distinct(), "signatures")
-    # copies in several blocks are one class
+    classes = given.groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("profile").alias("profile"), F.min(F.struct("block", "no")).alias("at"))
+    classes = materialize(classes, "classes")
+    # copies in several blocks are one class, whose signatures are taken from the first of them
+    rows = met.where(F.col("kind") == SIGNATURES).join(classes.select("at.block", "at.no", "class_id", F.col("n_shingles").cast("int").alias("n_shingles")), ["block", "no"])
+    rows = materialize(rows.select("sig", "class_id", "n_shingles"), "signatures")
     shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("width")).where("width > 1")
     buckets = materialize(rows.join(shared, "sig"), "buckets")
     drop(met, rows)
