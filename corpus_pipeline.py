@@ -21,9 +21,11 @@ LEAST_SURE = 0.3
 
 
 def _wrapped(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """docs as two columns, text and the whole row, so that no name can clash; and what makes rows of docs of such again."""
-    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
-    return docs.select("text", row), lambda found: found.select("row.*")
+    """docs as two columns, text and a row of all others, so that no name can clash and texts travel once; and what makes rows of docs of such again."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    row = F.struct(*others or [F.lit(None).cast("int").alias("none")]).alias("row")
+    columns = [F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return docs.select("text", row), lambda found: found.select(*columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

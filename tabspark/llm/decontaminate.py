@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.llm.lean import lean
 from tabspark.llm.store import materialize
 from tabspark.llm.text import as_bytes, mix, shingle_sets
 
@@ -117,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
                 cols = zip(*found, strict=True) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_shared"])
 
-        part = texts.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
+        part = texts.mapInArrow(lean(run), "doc_id long, item_id long, n_item long, n_shared long")
         if blocks > 1:  # one block's index at a time is with the executors
             part = materialize(part, "found")
             shared.unpersist()

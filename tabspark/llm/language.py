@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabspark.llm.lean import lean
 from tabspark.llm.mixing import uniform
 
 #: ISO 639-1 codes by family; a language that isn't listed is a family of its own.
@@ -165,8 +166,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy:
             weights, bias = (made.weights, made.bias) if made.weights is not None else (np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0))
             yield pa.RecordBatch.from_pylist([{"langs": sorted({lang for lang, _ in got}), "weights": weights.astype(np.float32).tobytes(), "bias": bias.astype(float).tobytes()}], schema=_WEIGHTS)
 
-    features_ = chosen.select("text", "lang").mapInArrow(run, "lang string, x binary")
-    found = features_.repartition(1).mapInArrow(train, "langs array<string>, weights binary, bias binary").collect()
+    features_ = chosen.select("text", "lang").mapInArrow(lean(run), "lang string, x binary")
+    found = features_.repartition(1).mapInArrow(lean(train), "langs array<string>, weights binary, bias binary").collect()
     if not found:
         return Hierarchy()
     out = Hierarchy.of(found[0].langs)
@@ -200,7 +201,7 @@ def identify(docs: DataFrame, labelled: DataFrame, per_language: int = PER_LANGU
                 lang[some], score[some] = hierarchy.predict(np.stack([features(texts[i].encode("utf-8", "surrogatepass")) for i in some]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def learnable(doc_id: Column) -> Column:

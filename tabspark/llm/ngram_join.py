@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.llm.lean import lean
 from tabspark.llm.packing import pack, unpack
 from tabspark.llm.store import by_keys, drop, materialize
 from tabspark.llm.text import as_bytes, mix, set_hash, shingle_sets
@@ -222,7 +223,7 @@ def sign(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
         if rows:
             yield from close()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "to long, kind int, block long, data binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "to long, kind int, block long, data binary")
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
@@ -260,7 +261,7 @@ def meet(messages: DataFrame) -> DataFrame:
         if got:
             yield close()
 
-    return messages.repartition("to").sortWithinPartitions("to").mapInArrow(run, "kind int, block long, sig long, no int, data binary")
+    return messages.repartition("to").sortWithinPartitions("to").mapInArrow(lean(run, None), "kind int, block long, sig long, no int, data binary")
 
 
 def signed_rows(met: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def signed_rows(met: DataFrame) -> DataFrame:
                     blocks = pa.array(np.full(len(mine), block), mask=mine < 0)
                     yield pa.RecordBatch.from_arrays([pa.array(doc_id[part], mask=has_id[part] == 0), pa.array(n[part]), pa.array(c[part], mask=n[part] == 0), blocks, pa.array(mine, mask=mine < 0), pa.array(profile, pa.binary())], schema=schema)
 
-    return met.where(F.col("kind") == ROWS).select("block", "data").mapInArrow(run, "doc_id long, n_shingles long, class_id long, block long, no int, profile binary")
+    return met.where(F.col("kind") == ROWS).select("block", "data").mapInArrow(lean(run, None), "doc_id long, n_shingles long, class_id long, block long, no int, profile binary")
 
 
 def class_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -299,7 +300,7 @@ def class_sets(docs: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([*(f for _, f in found), np.zeros(0, np.uint64)]))))
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "class_id long, f array<long>")
+    return docs.select("text").mapInArrow(lean(run), "class_id long, f array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,7 +359,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("profile").alias(f"profile_{x}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(lean(run, None), "a long, b long")
 
 
 def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -30,8 +30,8 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
 
 
-#: Bytes of texts that are hashed together.
-CHUNK = 1 << 20
+#: Bytes of texts that are hashed together; a worker needs some 60 times as much.
+CHUNK = 1 << 18
 #: Longer runs are hashed by themselves.
 LONG_WORD = 64
 _SPACE = np.zeros(256, bool)

@@ -9,6 +9,7 @@ a document in proportion to what they say, at first, and to the most toxic one i
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabspark.llm.lean import lean
 from tabspark.llm.mixing import uniform
 from tabspark.llm.store import by_keys, materialize
 from tabspark.llm.text import CHUNK, as_bytes, mix
@@ -36,6 +38,8 @@ ROUNDS, RATE, DECAY = 80, 0.05, 1e-4
 SHARPEST = 4.0
 #: Log odds of a window before anything is learnt.
 START_BIAS = -6.0
+#: Words of the texts, n-grams of the distinct words, and embeddings that a training step works on at a time.
+STEP = 1 << 16
 #: A run of more bytes (text without spaces, say) is no single word: it is as toxic as its most toxic part.
 LONGEST_WORD = 64
 #: Bytes of the parts of a long run, at each of its places.
@@ -162,26 +166,33 @@ class Lessons:
 
     def __init__(self, texts: list[bytes]) -> None:
         number: dict[bytes, int] = {}
-        cells, docs = [], []
+        cells, size, docs = bytearray(), array("q"), []
         for text in texts:
             folded = b" " + text.translate(_FOLD) + b" "
-            found, own = Cells.of(folded), []
+            found, own = Cells.of(folded), array("i")
             for i, (a, b) in enumerate(zip(found.start.tolist(), found.end.tolist(), strict=True)):
                 word = folded[a:b]
                 if (n := number.get(word)) is None:
                     n = number[word] = len(number)
-                    cells.append(found.of_word(i))
+                    cells += (own_cells := found.of_word(i)).tobytes()
+                    size.append(len(own_cells))
                 own.append(n)
-            docs.append(np.array(own, np.int64))
-        self.cells = np.concatenate(cells)  # 16 bits each
-        self.size = np.array([len(c) for c in cells])
-        self.first = np.cumsum(self.size) - self.size
+            docs.append(np.frombuffer(own, np.int32))
+        self.cells = np.frombuffer(cells, np.uint16)
+        self.size = np.frombuffer(size, np.int64)
         self.words = np.concatenate(docs)
-        length = np.array([len(d) for d in docs])
-        self.n = np.maximum(1, length - WINDOW + 1)  # windows of each text
-        self.begins = np.cumsum(self.n) - self.n
-        self.at = np.arange(self.n.sum()) + np.repeat(np.cumsum(length) - length - self.begins, self.n)
-        self.width = np.repeat(np.minimum(WINDOW, length), self.n)
+        self.length = np.array([len(d) for d in docs])
+        self.n = np.maximum(1, self.length - WINDOW + 1)  # windows of each text
+        self.texts = _blocks(self.length)
+        self.distinct = _blocks(self.size)
+
+
+def _blocks(sizes: np.ndarray) -> list[tuple[slice, slice]]:
+    """Runs of neighbours of about STEP in all, or one that is larger; and where what they hold stands."""
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.flatnonzero(np.diff((ends - sizes) // STEP)) + 1, [0, len(sizes)])).tolist()
+    held = [0, *ends.tolist()]
+    return [(slice(a, b), slice(held[a], held[b])) for a, b in zip(cuts, cuts[1:])]
 
 
 class Model:
@@ -203,34 +214,51 @@ class Model:
         A softmax of two classes depends on the embeddings through one number a bucket, so these are propagated as numbers.
         """
         along = self.out[:, 1] - self.out[:, 0]
-        words = np.add.reduceat((self.embedding @ along)[x.cells], x.first) / x.size
-        c = np.concatenate([[0.0], np.cumsum(words[x.words])])
-        z = (c[x.at + x.width] - c[x.at]) / x.width + self.bias
-        top = np.maximum.reduceat(z, x.begins)
-        odds = np.exp(sharp * (z - np.repeat(top, x.n)))
-        total = np.add.reduceat(odds, x.begins)
-        logit = top + np.log(total) / sharp
-        loss = float((weight * np.logaddexp(0, np.where(y, -logit, logit))).sum())
-        error = (sigmoid(logit) - y) * weight
-        by_window = np.repeat(error / total, x.n) * odds
-        ends = np.bincount(x.at, weights=by_window / x.width, minlength=len(x.words) + 1) - np.bincount(x.at + x.width, weights=by_window / x.width, minlength=len(x.words) + 1)
-        by_word = np.bincount(x.words, weights=np.cumsum(ends)[:-1], minlength=len(x.size)) / x.size
-        by_cell = np.bincount(x.cells, weights=np.repeat(by_word, x.size), minlength=BUCKETS)
+        by_bucket, words = self.by_bucket(), np.empty(len(x.size))
+        for some, held in x.distinct:
+            size = x.size[some]
+            words[some] = np.add.reduceat(by_bucket[x.cells[held]], np.cumsum(size) - size) / size
+        loss, by_bias, by_word, by_cell = 0.0, 0.0, np.zeros(len(x.size)), np.zeros(BUCKETS)
+        for some, held in x.texts:
+            own, length, n = x.words[held], x.length[some], x.n[some]
+            begins = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(np.cumsum(length) - length - begins, n)
+            width = np.repeat(np.minimum(WINDOW, length), n)
+            c = np.concatenate([[0.0], np.cumsum(words[own])])
+            z = (c[at + width] - c[at]) / width + self.bias
+            top = np.maximum.reduceat(z, begins)
+            odds = np.exp(sharp * (z - np.repeat(top, n)))
+            total = np.add.reduceat(odds, begins)
+            logit = top + np.log(total) / sharp
+            loss += float((weight[some] * np.logaddexp(0, np.where(y[some], -logit, logit))).sum())
+            by_window = np.repeat((sigmoid(logit) - y[some]) * weight[some] / total, n) * odds
+            by_bias += float(by_window.sum())
+            by_window /= width
+            ends = np.bincount(at, weights=by_window, minlength=len(own) + 1) - np.bincount(at + width, weights=by_window, minlength=len(own) + 1)
+            np.add.at(by_word, own, np.cumsum(ends)[:-1])
+        by_word /= x.size
+        for some, held in x.distinct:
+            by_cell += np.bincount(x.cells[held], weights=np.repeat(by_word[some], x.size[some]), minlength=BUCKETS)
         by_out = self.embedding.T @ by_cell
-        return loss, by_cell[:, None] * along, np.stack([-by_out, by_out], 1), float(by_window.sum())
+        return loss, by_cell[:, None] * along, np.stack([-by_out, by_out], 1), by_bias
 
     def fit(self, texts: list[bytes], toxic: np.ndarray) -> Model:
         """Embeddings, softmax and bias together, by Adam over all texts at once, both classes of the same weight."""
         x, y = Lessons(texts), toxic.astype(float)
         weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-        state = {name: (0.0, 0.0) for name in ("embedding", "out", "bias")}
+        bias = np.array([self.bias])
+        state = [(value, np.zeros_like(value), np.zeros_like(value)) for value in (self.embedding, self.out, bias)]
         for i in range(1, ROUNDS + 1):
             _, by_embedding, by_out, by_bias = self.gradients(x, y, weight, 1 + (SHARPEST - 1) * i / ROUNDS)
-            rate = RATE * (1 - (i - 1) / ROUNDS)
-            for name, g in (("embedding", by_embedding + DECAY * self.embedding), ("out", by_out), ("bias", by_bias)):
-                m, v = state[name]
-                state[name] = m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-                setattr(self, name, getattr(self, name) - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8))
+            rate, step = RATE * (1 - (i - 1) / ROUNDS), STEP // DIMENSIONS
+            for (value, m, v), gradient, decay in zip(state, (by_embedding, by_out, np.array([by_bias])), (DECAY, 0.0, 0.0), strict=True):
+                for a in range(0, len(value), step):
+                    part = slice(a, a + step)
+                    g = gradient[part] + decay * value[part]
+                    m[part] = 0.9 * m[part] + 0.1 * g
+                    v[part] = 0.99 * v[part] + 0.01 * g * g
+                    value[part] -= rate * (m[part] / (1 - 0.9**i)) / (np.sqrt(v[part] / (1 - 0.99**i)) + 1e-8)
+            self.bias = float(bias[0])
         return self
 
     def logit(self, texts: Iterable[bytes | None]) -> np.ndarray:
@@ -260,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             model = Model().fit([t for t, _ in lessons], toxic)
             yield pa.RecordBatch.from_pylist([{"embedding": model.embedding.astype(np.float32).tobytes(), "out": model.out.tobytes(), "bias": float(model.bias)}], schema=schema)
 
-    trained = rows.select("text", F.col("toxic") > 0).repartition(1).mapInArrow(run, "embedding binary, out binary, bias double").collect()
+    trained = rows.select("text", F.col("toxic") > 0).repartition(1).mapInArrow(lean(run), "embedding binary, out binary, bias double").collect()
     model = Model()
     if trained:
         model.embedding = np.frombuffer(trained[0].embedding, np.float32).reshape(BUCKETS, DIMENSIONS).astype(float)
@@ -290,4 +318,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = sigmoid(np.array([windows(s).max() + bias if len(s) else bias for s in found]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabspark.llm import chat, decontaminate, fingerprint, language, lm, mixing, ngram_join, tokens, toxicity, warc
+from tabspark.llm import chat, decontaminate, fingerprint, language, lean, lm, mixing, ngram_join, tokens, toxicity, warc
 from tabspark.llm.store import new_path
 from tabspark.llm.text import shingle_sets, word_hashes, words
 
@@ -313,6 +314,20 @@ def test_toxicity_gradients_agree_with_finite_differences():
         model.bias = kept
 
 
+def test_toxicity_trains_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(17)
+    lessons = toxicity.Lessons([" ".join(rng.choices([f"w{i}" for i in range(500)], k=5000)).encode() for _ in range(200)])
+    model, y, weight = toxicity.Model(), np.arange(200) % 3 == 0, np.full(200, 1 / 200)
+    tracemalloc.start()
+    model.gradients(lessons, y.astype(float), weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lessons.words) == 1_000_000 and len(lessons.texts) > 10
+    assert peak < 40e6  # a million windows as doubles are 8 MB, and so are the embeddings' gradients
+
+
 def test_toxicity_embeddings_have_many_dimensions():
     rng = random.Random(5)
     texts = [(prose(rng, 30) + (" vile" if i % 3 == 0 else "")).encode() for i in range(60)]
@@ -574,6 +589,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert not ({240, 241, 242, 8, 11, 5} & set(kept)) and len(toxic & set(kept)) <= 2 and all(r.taken > 0 for r in rows)
 
 
+def test_pipeline_texts_travel_once(spark):
+    import corpus_pipeline as P
+
+    for columns in (["text", "row", "c0", "doc_id", "a b"], ["doc_id", "text"], ["text"]):
+        rows = [tuple(f"{c} {i}" for c in columns) for i in range(3)] + [(None,) * len(columns)]
+        df = spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+        wrapped, restore = P._wrapped(df)
+        assert wrapped.columns == ["text", "row"] and len(wrapped.schema["row"].dataType) == max(1, len(columns) - 1)
+        back = restore(wrapped.mapInArrow(lambda batches: batches, wrapped.schema))
+        assert back.columns == columns and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_batches_of_texts_are_short():
+    batch = pa.RecordBatch.from_pydict({"text": [f"t{i}" for i in range(2 * lean.TEXTS + 1)]})
+    seen = []
+
+    def run(batches):
+        for b in batches:
+            seen.append(b.num_rows)
+            yield b
+
+    got = list(lean.lean(run)(iter([batch, batch.slice(0, 0)])))
+    assert seen == [lean.TEXTS, lean.TEXTS, 1, 0] and pa.Table.from_batches(got) == pa.Table.from_batches([batch])
+    assert [b.num_rows for b in lean.lean(run, None)(iter([batch]))] == [batch.num_rows]
+
+
 def test_rows_without_id_are_decontaminated(spark, tmp_path):
     import corpus_pipeline as P
 
