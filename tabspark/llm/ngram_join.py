@@ -39,6 +39,8 @@ CELLS, MOST_CELLS = 64, 4096
 #: In a bucket of more sets, those not yet connected are joined by what sets them apart from its center.
 CROWD = 32
 _SPREAD, _HALF = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
+#: Columns of a set's odd bits, 64 in each.
+ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Odd factors of the parts in a signature.
 _MESSAGE = [("to", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]
 #: Kinds of messages: what a block's rows are, and signatures.
@@ -286,9 +288,19 @@ def signed_rows(met: DataFrame) -> DataFrame:
     return met.where(F.col("kind") == ROWS).select("block", "data").mapInArrow(lean(run, None), "doc_id long, n_shingles long, class_id long, block long, no int, profile binary")
 
 
+def _odd(f: np.ndarray) -> np.ndarray:
+    """A bit for each of equal parts of the domain: whether a set has an odd number of shingles there.
+
+    Two sets differ in at least one shingle of each part where their bits do, so in no fewer shingles than bits.
+    """
+    cells = 64 * len(ODD)
+    held = np.bincount((f >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    return np.packbits((held & 1).astype(np.uint8)).view(np.int64)
+
+
 def class_sets(docs: DataFrame, k: int) -> DataFrame:
-    """class_id, f (the sorted shingles) of the rows of docs; equal sets of one task give one."""
-    schema = pa.schema([("class_id", pa.int64()), ("f", pa.list_(pa.int64()))])
+    """class_id, f (the sorted shingles), odd0 to odd3 (see _odd) of the rows of docs; equal sets of one task give one."""
+    schema = pa.schema([("class_id", pa.int64()), ("f", pa.list_(pa.int64())), *((x, pa.int64()) for x in ODD)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -298,9 +310,10 @@ def class_sets(docs: DataFrame, k: int) -> DataFrame:
                 found = [(c, f) for f in shingle_sets(texts[i : i + 256], k) if (c := set_hash(f)) not in seen and not seen.add(c)]
                 ends = np.cumsum([0, *(len(f) for _, f in found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate([*(f for _, f in found), np.zeros(0, np.uint64)]))))
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists], schema=schema)
+                odd = np.array([_odd(f) for _, f in found], np.int64).reshape(-1, len(ODD))
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists, *(pa.array(x) for x in odd.T)], schema=schema)
 
-    return docs.select("text").mapInArrow(lean(run), "class_id long, f array<long>")
+    return docs.select("text").mapInArrow(lean(run), f"class_id long, f array<long>, {', '.join(f'{x} long' for x in ODD)}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,6 +339,12 @@ def _close(size_a: Column, size_b: Column, percent: int) -> Column:
     return (size_a * 100 >= size_b * percent) & (size_b * 100 >= size_a * percent)
 
 
+def _alike(p: str, q: str, percent: int) -> Column:
+    """Pairs whose odd bits don't already differ in more than similar sets of their sizes do."""
+    bits = sum((F.bit_count(F.col(f"{p}.{x}").bitwiseXOR(F.col(f"{q}.{x}"))) for x in ODD), F.lit(0))
+    return bits * (100 + percent) <= (F.col(f"{p}.n_shingles") + F.col(f"{q}.n_shingles")) * (100 - percent)
+
+
 def _only(sets: DataFrame, of: DataFrame, name: str) -> DataFrame:
     """name, f: those of the sets that a column of another table names, so that a join moves no others."""
     named = materialize(of.select(F.col(name).alias("class_id")).distinct(), "named")
@@ -371,19 +390,20 @@ def _crowd_pairs(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lacks comes first in that order: it is rare, so unlike sets seldom meet. A set is far if its D alone exceeds every k that
     it can have; that bounds t from below for it (|D| - k) and for any set that meets it ((|D| + 1) / 2). Pairs of which
     neither is far are few, as nearly all such sets are linked with the center; these are taken as they are, and so are those
-    of a set and the center.
+    of a set and the center. Shingles that many of a crowd's sets share (a common passage that the center lacks) make unlike
+    sets meet all the same; the join leaves out pairs whose odd bits already differ too much (see _odd).
     """
     most = lambda n: F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
     d = many.join(sets, "class_id").join(_only(sets, many, "center").withColumnRenamed("f", "g"), "center")
-    d = d.select("center", "class_id", "n_shingles", "label", F.concat(F.array_except("f", "g"), F.array_except("g", "f")).alias("d"))
+    d = d.select("center", "class_id", "n_shingles", "label", *ODD, F.concat(F.array_except("f", "g"), F.array_except("g", "f")).alias("d"))
     far = F.size("d") > most(F.col("n_shingles"))
     length = F.when(far, most(F.col("n_shingles")) + 1).otherwise(F.size("d") - F.floor((F.size("d") + 2) / 2) + 1).cast("int")
-    d = materialize(d.select("center", "class_id", "n_shingles", "label", far.alias("far"), F.slice("d", F.lit(1), length).alias("d")), "apart")
-    x = d.select("center", "class_id", "n_shingles", "label", "far", F.explode("d").alias("e"))
+    d = materialize(d.select("center", "class_id", "n_shingles", "label", *ODD, far.alias("far"), F.slice("d", F.lit(1), length).alias("d")), "apart")
+    x = d.select("center", "class_id", "n_shingles", "label", *ODD, "far", F.explode("d").alias("e"))
     met = x.groupBy("center", "e").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u < v").select("center", "e")
     x = materialize(x.join(met, ["center", "e"]), "met")
     p, q = x.alias("p"), x.alias("q")
-    unlike = (F.col("p.center") == F.col("q.center")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent)
+    unlike = (F.col("p.center") == F.col("q.center")) & (F.col("p.label") < F.col("q.label")) & _close(F.col("p.n_shingles"), F.col("q.n_shingles"), percent) & _alike("p", "q", percent)
     pair = [F.col("p.class_id").alias("a"), F.col("q.class_id").alias("b")]
     found = p.join(q, unlike & (F.col("p.e") == F.col("q.e")) & (F.col("p.far") | F.col("q.far"))).select(*pair)
     found = found.union(many.where("label <> center_label").select(F.col("center").alias("a"), F.col("class_id").alias("b")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabspark.llm import chat, decontaminate, fingerprint, language, lean, lm, mixing, ngram_join, tokens, toxicity, warc
 from tabspark.llm.store import new_path
-from tabspark.llm.text import shingle_sets, word_hashes, words
+from tabspark.llm.text import set_hash, shingle_sets, word_hashes, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string"
 
@@ -589,6 +589,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert not ({240, 241, 242, 8, 11, 5} & set(kept)) and len(toxic & set(kept)) <= 2 and all(r.taken > 0 for r in rows)
 
 
+def test_unlike_sets_of_a_crowd_with_a_common_passage_dont_pair(spark):
+    own = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    passage = " ".join(f"p{j}" for j in range(60))
+    texts = [own(0, 200), *(f"{passage} {own(i, 140)}" for i in range(1, 61))]
+    texts.append(texts[1] + " more")
+    sets = list(shingle_sets([t.encode() for t in texts], 5))
+    ids = [set_hash(f) for f in sets]
+    for f, g in [(sets[1], sets[2]), (sets[1], sets[61]), (sets[0], sets[1])]:
+        bits = sum(int(x).bit_count() for x in (ngram_join._odd(f) ^ ngram_join._odd(g)).view(np.uint64))
+        assert bits <= len(np.setxor1d(f, g))
+    rows = [(ids[0], ids[0], c, len(f), c) for c, f in zip(ids[1:], sets[1:], strict=True)]
+    many = spark.createDataFrame(rows, "center long, center_label long, class_id long, n_shingles long, label long")
+    stored = ngram_join.class_sets(spark.createDataFrame([(t,) for t in texts], "text string"), 5)
+    pairs = [{r.a, r.b} for r in ngram_join._crowd_pairs(many, stored, 80).collect()]
+    between = [p for p in pairs if ids[0] not in p]
+    assert {ids[1], ids[61]} in between and all(p == {ids[1], ids[61]} for p in between)
+    assert all({ids[0], c} in pairs for c in ids[1:])
+
+
 def test_pipeline_texts_travel_once(spark):
     import corpus_pipeline as P
 
